@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import terms
-from vitaline.session import table
+from vitaline.llm import mixing, packing, terms, tokens
+from vitaline.session import cut_lineage, table
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -22,4 +22,42 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return terms.match_terms(_typed(spark, d), table(spark, d, "canon_terms"))
 
 
-QUERIES = {"p4_found": p4_found}
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, source, n_tokens), tokenised once and kept in the shared folder."""
+    docs = tokens.with_token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    return cut_lineage(docs.select("doc_id", "source", "n_tokens"))
+
+
+def _bounded(df: DataFrame, limit: int = 1000) -> list:
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows in a parameter table")
+    return rows
+
+
+def _capacities(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    return sorted((r[0], r[1]) for r in _bounded(table(spark, d, "pack_sizes").select("pack_id", "capacity_tokens")))
+
+
+def p7_packs(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d), _capacities(spark, d))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p7_packs(spark, d), _capacities(spark, d))
+
+
+def _targets(spark: SparkSession, d: str) -> list[mixing.Target]:
+    return [mixing.Target(*r) for r in sorted(_bounded(table(spark, d, "mix_targets").select("source", "target_share", "max_repeats")))]
+
+
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    sized = _sizes(spark, d).select("doc_id", "n_tokens", F.array("source").alias("sources"))
+    return mixing.mix(sized, _targets(spark, d))
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(p8_mixture(spark, d), _targets(spark, d))
+
+
+QUERIES = {"p4_found": p4_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
