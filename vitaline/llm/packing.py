@@ -43,8 +43,10 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int) -> list[Patter
         left = histogram[length]
         while left > 0:
             if not heap or -heap[0][0] < length:
-                new = Pattern(left, capacity - length, {length: 1})
-                left = 0
+                # opened one by one, a new pack would be the shortest until it is full of this length
+                times = min(capacity // length, left)
+                new = Pattern(left // times, capacity - times * length, {length: times})
+                left -= new.count * times
             else:
                 old = heapq.heappop(heap)[2]
                 take = min(left, old.count)

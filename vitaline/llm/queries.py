@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitaline.llm import mixing, packing, terms, tokens
+from vitaline.llm import mixing, packing, pii, terms, tokens
 from vitaline.session import cut_lineage, table
 
 
@@ -60,4 +60,21 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(p8_mixture(spark, d), _targets(spark, d))
 
 
-QUERIES = {"p4_found": p4_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with typed placeholders; those without a passage come out as they are."""
+    return pii.redact(table(spark, d, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "p4_found": p4_found, "p7_packs": p7_packs, "p7_fill": p7_fill, "p8_mixture": p8_mixture, "p8_shares": p8_shares,
+    "p9_found": p9_found, "p9_redacted": p9_redacted,
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    """These operators have no SQL equivalent; tests/llm holds brute-force versions and round trips."""
+    return {}
