@@ -32,15 +32,19 @@ def or_default(df: DataFrame, name: str, default) -> Column:
     return F.coalesce(filled(F.col(name)), d) if name in df.columns else d
 
 
-def safe_int(c: Column) -> Column:
-    """Integer part of a numeric text (towards zero); null where it does not parse or leaves the int range."""
-    x = F.trim(c.cast("string")).try_cast("double")
-    return F.when(x.isNotNull() & ~F.isnan(x), x).try_cast("int")
+#: A decimal number as text. Casting alone would also read the type suffixes 1d and 1f.
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def safe_double(c: Column) -> Column:
-    x = F.trim(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    """Number of a numeric text; null where it does not parse."""
+    s = F.trim(c.cast("string"))
+    return F.when(s.rlike(NUMBER), s).try_cast("double")
+
+
+def safe_int(c: Column) -> Column:
+    """Integer part of a numeric text (towards zero); null where it does not parse or leaves the int range."""
+    return safe_double(c).try_cast("int")
 
 
 def map_lookup(c: Column, mapping: Mapping[str, str], otherwise: Column | None = None) -> Column:

@@ -1,3 +1,53 @@
-"""SQL equivalents."""
+"""SQL equivalents of the queries, for a second engine to run over the same tables."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from vitaline.plans import reference
+
+
+def _categorical(tab: str, col: str, codes: str) -> str:
+    return f"""SELECT '{tab}' AS tab, '{col}' AS col, load_no, unnest(list_filter([CASE WHEN n_rise THEN 'nulls' END, CASE WHEN off * 100 > filled * 20 THEN 'pattern' END, CASE WHEN filled > 0 AND p_filled > 0 AND diff * 100 > filled * p_filled * 44 THEN 'shift' END], lambda x: x IS NOT NULL)) AS finding
+  FROM (WITH a AS (SELECT load_no, CASE WHEN trim({col}) <> '' THEN {col} END AS v FROM {tab} WHERE load_no IS NOT NULL),
+  t AS (SELECT load_no, count(*)::HUGEINT AS n, count(v)::HUGEINT AS filled, count(CASE WHEN v NOT IN ({codes}) THEN 1 END)::HUGEINT AS off FROM a GROUP BY 1),
+  u AS (SELECT *, lag(load_no) OVER w AS p, lag(n) OVER w AS p_n, lag(filled) OVER w AS p_filled FROM t WINDOW w AS (ORDER BY load_no)),
+  c AS (SELECT load_no, v, count(*)::HUGEINT AS k FROM a WHERE v IS NOT NULL GROUP BY 1, 2),
+  k AS (SELECT u.load_no, v FROM u JOIN c ON c.load_no = u.load_no UNION SELECT u.load_no, v FROM u JOIN c ON c.load_no = u.p),
+  d AS (SELECT u.load_no, sum(abs(coalesce(x.k, 0) * u.p_filled - coalesce(y.k, 0) * u.filled)) AS diff FROM u JOIN k ON k.load_no = u.load_no LEFT JOIN c x ON x.load_no = u.load_no AND x.v = k.v LEFT JOIN c y ON y.load_no = u.p AND y.v = k.v GROUP BY 1)
+  SELECT u.*, d.diff, ((n - filled) * p_n - (p_n - p_filled) * n) * 100 > 15 * n * p_n AS n_rise FROM u LEFT JOIN d ON u.load_no = d.load_no)"""
+
+
+_NUMERIC = """SELECT 'dm' AS tab, 'age' AS col, load_no, unnest(list_filter([CASE WHEN (miss * p_n - p_miss * n) * 100 > 15 * n * p_n THEN 'nulls' END, CASE WHEN outside * 100 > (inside + outside) * 8 THEN 'range' END,
+  CASE WHEN inside > 0 AND p_inside > 0 AND abs(s * p_inside - p_s * inside) > 8 * inside * p_inside THEN 'shift' END], lambda x: x IS NOT NULL)) AS finding FROM (SELECT *, lag(n) OVER w AS p_n, lag(miss) OVER w AS p_miss, lag(inside) OVER w AS p_inside, lag(s) OVER w AS p_s FROM
+  (SELECT load_no, count(*)::HUGEINT AS n, count(CASE WHEN age IS NULL THEN 1 END)::HUGEINT AS miss, count(CASE WHEN age BETWEEN 0 AND 120 THEN 1 END)::HUGEINT AS inside, count(CASE WHEN age NOT BETWEEN 0 AND 120 THEN 1 END)::HUGEINT AS outside,
+  coalesce(sum(CASE WHEN age BETWEEN 0 AND 120 THEN age END), 0)::HUGEINT AS s FROM dm WHERE load_no IS NOT NULL GROUP BY 1) WINDOW w AS (ORDER BY load_no))"""
+
+
+def _orphans(tab: str, parent: str) -> str:
+    return f"""SELECT '{tab}' AS tab, c.rec_id, strftime(c.received_at, '%Y-%m') AS period, CASE WHEN p.k IS NULL THEN 'missing' WHEN p.live IS NULL THEN 'deleted' ELSE 'late' END AS kind FROM {tab} c
+  LEFT JOIN (SELECT upper(trim(usubjid)) AS k, min(CASE WHEN deleted_at IS NULL THEN received_at END) AS live FROM {parent} WHERE trim(usubjid) <> '' GROUP BY 1) p ON upper(trim(c.usubjid)) = p.k
+  WHERE p.k IS NULL OR p.live IS NULL OR p.live > c.received_at"""
+
+
+_P6 = " UNION ALL ".join(_orphans(c, p) for c, p in (("adae", "adsl"), ("ex", "adsl"), ("adsl", "dm")))
+_MON = "CASE upper(substr({0},1,3)) " + " ".join(f"WHEN '{m}' THEN '{i:02d}'" for i, m in enumerate(("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC"), 1)) + " END"
+_P2_VAL = f"""CASE t WHEN 'txt' THEN s
+  WHEN 'yn' THEN CASE WHEN upper(s) IN ('Y','YES','1','TRUE') THEN 'Y' WHEN upper(s) IN ('N','NO','0','FALSE') THEN 'N' END
+  WHEN 'int' THEN CASE WHEN regexp_matches(s,'^\\+?(\\d+|\\d{{1,3}}(,\\d{{3}})+|\\d{{1,3}}( \\d{{3}})+)(\\.0*)?$') THEN CAST(CAST(regexp_replace(regexp_replace(s,'\\.0*$',''),'[+, ]','','g') AS HUGEINT) AS VARCHAR) END
+  WHEN 'num' THEN CASE WHEN regexp_matches(s,'^[+-]?(\\d+([.,]\\d*)?|[.,]\\d+)([eE][+-]?\\d+)?$') THEN regexp_replace(regexp_replace(CAST(CAST(CAST(replace(s,',','.') AS DOUBLE) AS DECIMAL(38,10)) AS VARCHAR),'0+$',''),'\\.$','') END
+  WHEN 'date' THEN CAST(try_cast(CASE WHEN regexp_matches(s,'^\\d{{4}}[-/]\\d{{1,2}}[-/]\\d{{1,2}}$') THEN replace(s,'/','-') WHEN regexp_matches(s,'^\\d{{8}}$') THEN substr(s,1,4) || '-' || substr(s,5,2) || '-' || substr(s,7,2)
+    WHEN regexp_matches(s,'^\\d{{1,2}}\\.\\d{{1,2}}\\.\\d{{4}}$') THEN split_part(s,'.',3) || '-' || split_part(s,'.',2) || '-' || split_part(s,'.',1)
+    WHEN regexp_matches(s,'^\\d{{2}}[A-Za-z]{{3}}\\d{{4}}$') THEN substr(s,6,4) || '-' || {_MON.format('substr(s,3,3)')} || '-' || substr(s,1,2)
+    WHEN regexp_matches(s,'^[A-Za-z]{{3,9}} \\d{{1,2}}, \\d{{4}}$') THEN substr(s,-4) || '-' || {_MON.format('s')} || '-' || regexp_extract(s,' (\\d{{1,2}}),',1) END AS DATE) AS VARCHAR) END"""
+P2_CELLS = f"""WITH raw AS (SELECT 'ts' AS tab, trim(studyid) AS entity, upper(trim(tsparmcd)) AS attr, tsval AS v, received_at, rec_id FROM ts
+  UNION ALL SELECT 'adtte', trim(usubjid), upper(trim(paramcd)), CAST(aval AS VARCHAR), received_at, rec_id FROM adtte),
+  j AS (SELECT raw.*, p.val_type AS t, CASE WHEN upper(trim(v)) NOT IN ('','NULL','N/A','.') THEN trim(v) END AS s FROM raw JOIN param_spec p ON p.tab = raw.tab AND p.attr = raw.attr WHERE entity <> ''),
+  k AS (SELECT *, {_P2_VAL} AS val FROM j)
+  SELECT tab, entity, attr, val FROM k WHERE val IS NOT NULL QUALIFY row_number() OVER (PARTITION BY tab, entity, attr ORDER BY received_at DESC NULLS LAST, rec_id DESC) = 1"""
+
+SQL: dict[str, str] = {
+    "p2_found": P2_CELLS,
+    "p3_found": " UNION ALL ".join([_NUMERIC, _categorical("adsl", "saffl", "'Y','N'"), _categorical("ae", "aesev", "'MILD','MODERATE','SEVERE'")]),
+    "p6_found": _P6,
+    "p6_report": f"WITH f AS ({_P6}) SELECT f.tab, period, kind, count(*) AS n_rows, count(DISTINCT upper(trim(u.usubjid))) AS n_keys FROM f JOIN (SELECT 'adae' AS tab, rec_id, usubjid FROM adae UNION ALL SELECT 'ex', rec_id, usubjid FROM ex UNION ALL SELECT 'adsl', rec_id, usubjid FROM adsl) u ON f.tab = u.tab AND f.rec_id = u.rec_id GROUP BY 1, 2, 3",
+    **reference.SQL,
+}
