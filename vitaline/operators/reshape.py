@@ -77,11 +77,12 @@ def _later(a: tuple | None, b: tuple | None) -> tuple | None:
     return b if a is None or (b is not None and b > a) else a
 
 
-def to_wide(rows: DataFrame, attrs: list[tuple[str, str]], entity: str, attr: str, value: str, received: str = "received_at", rec_id: str = "rec_id") -> DataFrame:
+def to_wide(rows: DataFrame, attrs: list[tuple[str, str]], entity: str, attr: str, value: str, received: str = "received_at", rec_id: str = "rec_id", source: str | None = None) -> DataFrame:
     """One row per entity with a typed column for each (attribute, type) of attrs.
 
     The columns are entity, then the attributes by their names; other columns of rows are ignored, so clashing names
-    do no harm. attrs is a specification held by the driver, so its length bounds the register.
+    do no harm. attrs is a specification held by the driver, so its length bounds the register. source names the input in
+    Spark's interface and event log, which show no query plan for an RDD's stages.
     """
     names = [a for a, _ in attrs]
     if len(set(names)) != len(names):
@@ -112,7 +113,10 @@ def to_wide(rows: DataFrame, attrs: list[tuple[str, str]], entity: str, attr: st
         return [_later(p, q) for p, q in zip(x, y, strict=True)]
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = cells.rdd.map(lambda r: (r[0], (r[1], r[2], r[3], r[4])))
+    base = cells.rdd
+    if source:
+        base.setName(f"cells of {source}")
+    pairs = base.map(lambda r: (r[0], (r[1], r[2], r[3], r[4])))
     wide = pairs.combineByKey(create, add, merge, parts).map(lambda kv: (kv[0], *[None if c is None else c[2] for c in kv[1]]))
     schema = T.StructType([T.StructField("__entity", T.StringType()), *[T.StructField(f"__{i}", T.StringType()) for i in range(width)]])
     text = rows.sparkSession.createDataFrame(wide, schema, verifySchema=False)

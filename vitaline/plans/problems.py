@@ -42,7 +42,7 @@ def _wide(spark: SparkSession, d: str, tab: str) -> tuple[DataFrame, list[tuple[
     attrs = reshape.spec_attrs(table(spark, d, "param_spec"), tab)
     entity, code, value = {"ts": ("studyid", "tsparmcd", "tsval"), "adtte": ("usubjid", "paramcd", "aval")}[tab]
     rows = table(spark, d, tab).select(entity, code, value, "received_at", "rec_id")
-    return reshape.to_wide(rows, attrs, entity, code, value), attrs, entity
+    return reshape.to_wide(rows, attrs, entity, code, value, source=f"{d}/{tab}.parquet"), attrs, entity
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
