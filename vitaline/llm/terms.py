@@ -168,7 +168,9 @@ def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
                     out += [(field, kind, gram, w, s) for w, s in v.nearest(gram)]
             yield pd.DataFrame(out, columns=["field", "kind", "gram", "word", "sim"])
 
-    repaired = grams.select("field", "kind", "gram").distinct().mapInPandas(repair, "field string, kind string, gram string, word string, sim double")
+    # tokens are few bytes but much work each, so the number of tasks must not follow the bytes
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    repaired = grams.select("field", "kind", "gram").distinct().repartition(parts, "gram").mapInPandas(repair, "field string, kind string, gram string, word string, sim double")
     hits = grams.join(repaired, ["field", "kind", "gram"]).groupBy("field", "norm", "kind", "word").agg(F.max("sim").alias("sim"))
     scored = (
         hits.join(entry_words, ["field", "kind", "word"])
