@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -36,7 +37,7 @@ _STREETS = r"(?:Street|St|Road|Lane|Close|Drive|Gardens|Court|Avenue|Ave|Rd|Blvd
 _UNIT = r"(?:,? (?:Suite|Apt|Flat|Unit|Floor)\.? \w+)?"
 #: Generic candidate patterns, as features only: what they cover is decided by the model.
 CANDIDATES = {
-    "E": re.compile(r"[\w.+-]+(?:@| ?[\(\[\{] ?(?:at|AT|@) ?[\)\]\}] ?)[\w-]+(?:(?:\.| ?[\(\[\{] ?(?:dot|DOT) ?[\)\]\}] ?)[\w-]+)+"),
+    "E": None,
     "A": re.compile(
         rf"(?<![\w.@-])(?:\d{{1,5}}[a-z]? (?:[NSEW]\. )?(?:[A-Z][\w'-]+ ){{1,3}}{_STREETS}\b{_UNIT}"
         r"|\d{1,4}(?: bis| ter)?,? (?:avenue|rue|quai|impasse|chemin|allée|place|boulevard|cours|square) (?:[dD][eu]s? (?:la )?|l'|d')?[\w'-]+(?: [A-Z][\w'-]+)*"
@@ -50,7 +51,22 @@ CANDIDATES = {
     ),
 }
 FLAGS = ["", *(f"{k}{p}" for k in CANDIDATES for p in "BI")]
-_NOT_A_NAME = re.compile(r"[^\w.]+$")
+_AT = re.compile(r"@| ?[\(\[\{] ?(?:at|AT|@) ?[\)\]\}] ?")
+_HOST = re.compile(r"[\w-]+(?:(?:\.| ?[\(\[\{] ?(?:dot|DOT) ?[\)\]\}] ?)[\w-]+)+")
+
+
+def mail_spans(text: str) -> list[tuple[int, int]]:
+    """Candidate mail addresses, grown to both sides of an at sign or its written form."""
+    out = []
+    for m in _AT.finditer(text):
+        a = m.start()
+        while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
+            a -= 1
+        if a < m.start() and (host := _HOST.match(text, m.end())):
+            out.append((a, host.end()))
+    return out
+
+
 
 
 def token_type(t: str) -> str:
@@ -87,14 +103,10 @@ def flag_features(flag: str, before: str, after: str, fresh: bool) -> list[str]:
 def candidate_flags(text: str, starts: list[int], ends: list[int]) -> list[int]:
     """Index into FLAGS for every token."""
     flags = [0] * len(starts)
-    s = None
     for k, pattern in enumerate(CANDIDATES):
-        if pattern == "E" and "@" not in text and "(at" not in text.lower() and "[at" not in text.lower():
-            continue
-        for m in CANDIDATES[pattern].finditer(text):
-            if s is None:
-                s = np.asarray(starts)
-            a, b = np.searchsorted(s, m.start()), np.searchsorted(s, m.end())
+        found = mail_spans(text) if pattern == "E" else [m.span() for m in CANDIDATES[pattern].finditer(text)]
+        for first, last in found:
+            a, b = bisect_left(starts, first), bisect_left(starts, last)
             if a < b and not any(flags[a:b]):
                 flags[a] = 1 + 2 * k
                 for i in range(a + 1, b):
@@ -129,6 +141,7 @@ class Tagger:
         return np.stack([self._sum(f) for f in features])
 
     def _reset(self) -> None:
+        self.raw: dict[str, int] = {}
         self.ids: dict[str, int] = {}
         self.new: list[str] = []
         self.tables = [np.zeros((0, crf.N_LABELS), dtype=np.float32) for _ in range(1 + len(OFFSETS))]
@@ -143,6 +156,12 @@ class Tagger:
             self.new.append(t)
         return k
 
+    def raw_id(self, t: str) -> int:
+        k = self.raw.get(t)
+        if k is None:
+            k = self.raw[t] = self.id_of(token_type(t))
+        return k
+
     def _grow(self) -> None:
         if not self.new:
             return
@@ -159,19 +178,20 @@ class Tagger:
         for n, text in enumerate(texts):
             if not text:
                 continue
-            types, starts, ends = [], [], []
-            for m in TOKEN.finditer(text):
-                t = m[0]
-                types.append(self.id_of(token_type(t)))
-                starts.append(m.start())
-                ends.append(m.end())
+            found = list(TOKEN.finditer(text))
+            tokens, starts = [m[0] for m in found], [m.start() for m in found]
+            ends = [a + len(t) for a, t in zip(starts, tokens, strict=True)]
+            get = self.raw.get
+            types = [get(t, -1) for t in tokens]
+            if -1 in types:
+                types = [self.raw_id(t) for t in tokens]
             if types:
                 block.append((n, text, types, starts, ends))
                 size += len(types)
             if size >= CHUNK:
                 self._tag_block(block, out)
                 block, size = [], 0
-                if len(self.ids) > MEMO:
+                if len(self.raw) > MEMO:
                     self._reset()
         if block:
             self._tag_block(block, out)
@@ -196,7 +216,12 @@ class Tagger:
         for k, (_, text, ty, starts, ends) in enumerate(block):
             types += pad + ty
             flags += [0, 0, 0, *candidate_flags(text, starts, ends)]
-            new = [1, *[1 if b > a and "\n" in text[a:b] else 0 for a, b in zip(ends[:-1], starts[1:], strict=True)]]
+            new = [1] + [0] * (len(ty) - 1)
+            at = text.find("\n")
+            while at >= 0:  # the token after a line break starts fresh
+                if (i := bisect_left(starts, at)) < len(starts):
+                    new[i] = 1
+                at = text.find("\n", at + 1)
             fresh += [0, 0, 0, *new]
             doc += [-1, -1, -1, *[k] * len(ty)]
         types_a, flags_a, fresh_a, doc_a = (np.asarray(x) for x in (types + pad, flags + [0] * 3, fresh + [0] * 3, doc + [-1] * 3))
