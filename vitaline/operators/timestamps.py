@@ -60,10 +60,12 @@ def with_utc(
     """Append {prefix}_seconds (epoch seconds, fractions cut) and {prefix}_status to df.
 
     status: exact (the value names its offset), unique, ambiguous or nonexistent (local time), null if unreadable.
-    ambiguous: earlier or later instant; nonexistent: offset before or after the change.
+    ambiguous: earlier or later instant; nonexistent: offset before or after the change. Columns of df with the
+    appended names are replaced.
     """
     if ambiguous not in ("earlier", "later") or nonexistent not in ("before", "after"):
         raise ValueError("ambiguous is earlier or later, nonexistent is before or after")
+    df = df.drop(f"{prefix}_seconds", f"{prefix}_status")
     p = f"__{prefix}_"
     v = F.trim(F.regexp_replace(F.col(value).cast("string"), r"\s+", " "))
     parts = F.when(F.lit(False), F.lit(""))
@@ -153,4 +155,5 @@ def normalise_site_times(rows: DataFrame, sites: DataFrame, value: str = "value"
     s = s.select("__site", F.col("tz").alias("__tz"), F.col("date_order").alias("__order")).where(F.col("__site").isNotNull())
     site = F.upper(F.trim(F.get(F.split(F.trim(F.col(subject)), "-"), F.lit(1))))
     joined = rows.withColumn("__k", site).join(s, F.col("__k") == F.col("__site"), "left")
-    return with_utc(joined, value, "__tz", "__order").select(*rows.columns, "utc_seconds", "utc_status")
+    kept = [c for c in rows.columns if c not in ("utc_seconds", "utc_status")]
+    return with_utc(joined, value, "__tz", "__order").select(*kept, "utc_seconds", "utc_status")

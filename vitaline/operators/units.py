@@ -153,11 +153,14 @@ def unit_list(units: DataFrame, limit: int = 5000) -> list[tuple[str, str, bool,
 
 def factor_table(spark: SparkSession) -> DataFrame:
     d = "decimal(30,20)"
-    return spark.createDataFrame(FACTORS, "f_test string, f_unit string, num string, den string, add string").select("f_test", "f_unit", *[F.col(c).cast(d).alias(c) for c in ("num", "den", "add")])
+    return spark.createDataFrame(FACTORS, "__f_test string, __f_unit string, __f_num string, __f_den string, __f_add string").select("__f_test", "__f_unit", *[F.col(c).cast(d).alias(c) for c in ("__f_num", "__f_den", "__f_add")])
 
 
 def standardise(df: DataFrame, units: DataFrame, test: str = "vstestcd", text: str = "vsorres", field: str = "vsorresu") -> DataFrame:
-    """Append unit (as understood), is_std, std_unit and std_tenths (tenths of the standard unit, half up) to df."""
+    """Append unit (as understood), is_std, std_unit and std_tenths (tenths of the standard unit, half up) to df.
+
+    Columns of df with these names are replaced.
+    """
     listed = unit_list(units)
     by_test: dict[str, list[str]] = {}
     for t, u, *_ in listed:
@@ -179,12 +182,13 @@ def standardise(df: DataFrame, units: DataFrame, test: str = "vstestcd", text: s
     guess = F.coalesce(in_std, F.when(F.size(fits) == 1, F.get(fits, F.lit(0))).otherwise(none))
     unit = F.coalesce(F.col("__unit_text"), F.col("__unit_field"), guess)
     q = bind(q, __t=t, __x=x, __unit=F.when(F.col("__num").isNotNull(), unit), __std=std)
-    j = q.join(factor_table(df.sparkSession), (F.col("__t") == F.col("f_test")) & (F.col("__unit") == F.col("f_unit")), "left")
+    j = q.join(factor_table(df.sparkSession), (F.col("__t") == F.col("__f_test")) & (F.col("__unit") == F.col("__f_unit")), "left")
     per = F.lit(None).cast("int")
     for (great, _), n in COMPOUND.items():
         per = F.when(F.col("__unit") == great, F.lit(n)).otherwise(per)
+    kept = [c for c in df.columns if c not in ("unit", "is_std", "std_unit", "std_tenths")]
     return j.select(
-        *df.columns, F.col("__unit").alias("unit"), (F.col("__unit") == F.col("__std")).alias("is_std"), F.col("__std").alias("std_unit"),
+        *kept, F.col("__unit").alias("unit"), (F.col("__unit") == F.col("__std")).alias("is_std"), F.col("__std").alias("std_unit"),
         _tenths(F.col("__x"), F.col("__num2").try_cast("decimal(20,8)"), per).alias("std_tenths"),
     )
 
@@ -192,9 +196,9 @@ def standardise(df: DataFrame, units: DataFrame, test: str = "vstestcd", text: s
 def _tenths(x: Column, lesser: Column, per: Column) -> Column:
     """Half up of 10 * ((x + lesser / per) * num / den + add) in decimals wide enough to be exact to 1e-9."""
     wide = "decimal(38,12)"
-    whole = F.when(lesser.isNotNull() & per.isNotNull(), ((x * per + lesser).cast("decimal(24,8)") * F.col("num").cast("decimal(13,8)")).cast(wide) / (F.col("den").cast("decimal(8,4)") * per)).otherwise(
-        (x.cast("decimal(20,8)") * F.col("num").cast("decimal(13,8)")).cast(wide) / F.col("den").cast("decimal(8,4)")
+    whole = F.when(lesser.isNotNull() & per.isNotNull(), ((x * per + lesser).cast("decimal(24,8)") * F.col("__f_num").cast("decimal(13,8)")).cast(wide) / (F.col("__f_den").cast("decimal(8,4)") * per)).otherwise(
+        (x.cast("decimal(20,8)") * F.col("__f_num").cast("decimal(13,8)")).cast(wide) / F.col("__f_den").cast("decimal(8,4)")
     )
-    value = whole.cast("decimal(30,12)") + F.col("add").cast("decimal(20,12)")
+    value = whole.cast("decimal(30,12)") + F.col("__f_add").cast("decimal(20,12)")
     tenths = (value * 10).cast("decimal(30,9)")
     return F.floor(tenths + F.lit("0.5").cast("decimal(2,1)")).cast("long")
