@@ -117,12 +117,13 @@ def derived_records(rows: DataFrame, keys: Sequence[str], value: str = "aval") -
 def adtte(subjects: DataFrame, events: DataFrame, params: Sequence[tuple[str, str]], cutoff: str) -> DataFrame:
     """Time to the first event of each parameter for safety subjects; censored at the end of treatment or the cutoff.
 
-    events has usubjid, paramcd, edt; the earliest date counts; time is end - start + 1 days.
+    events has usubjid, paramcd, edt; the earliest date from the first dose on counts; time is end - start + 1 days.
     """
-    first = events.where(F.col("edt").isNotNull()).groupBy("usubjid", "paramcd").agg(F.min("edt").alias("edt"))
     grid = F.array(*[F.struct(F.lit(p).alias("paramcd"), F.lit(n).alias("param")) for p, n in params])
-    s = subjects.where((F.col("saffl") == "Y") & F.col("trtsdt").isNotNull()).select("usubjid", "trt01a", "trtsdt", "trtedt", F.inline(grid))
-    first = first.join(s.select("usubjid", "paramcd", F.col("trtsdt").alias("__s")), ["usubjid", "paramcd"]).where(F.col("edt") >= F.col("__s")).drop("__s")
+    safe = subjects.where((F.col("saffl") == "Y") & F.col("trtsdt").isNotNull())
+    s = safe.select("usubjid", "trt01a", "trtsdt", "trtedt", F.inline(grid))
+    since = events.join(safe.select("usubjid", F.col("trtsdt").alias("__s")), "usubjid").where(F.col("edt") >= F.col("__s"))
+    first = since.groupBy("usubjid", "paramcd").agg(F.min("edt").alias("edt"))
     j = s.join(first, ["usubjid", "paramcd"], "left")
     adt = F.coalesce("edt", "trtedt", F.lit(cutoff).cast("date"))
     return j.select("usubjid", "trt01a", "paramcd", "param", F.when(F.col("edt").isNull(), 1).otherwise(0).alias("cnsr"), adt.alias("adt"), (F.datediff(adt, "trtsdt") + 1).alias("aval"))

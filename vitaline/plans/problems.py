@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaline.operators import orphans, profile, reshape, timestamps, units
-from vitaline.session import table
+from vitaline.session import spread, table
 
 TIMES = (("dm", "rfstdtc"), ("ae", "aestdtc"), ("ex", "exstdtc"))
 EXPECTED = [
@@ -25,7 +25,7 @@ def _union(parts) -> DataFrame:
 
 def _times(spark: SparkSession, d: str) -> DataFrame:
     rows = _union(table(spark, d, t).select(F.lit(t).alias("tab"), "rec_id", "usubjid", F.col(c).alias("value")) for t, c in TIMES)
-    return timestamps.normalise_site_times(rows, table(spark, d, "sites"))
+    return timestamps.normalise_site_times(spread(rows), table(spark, d, "sites"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -72,14 +72,14 @@ def p3_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    vs = table(spark, d, "vs").select("rec_id", "vstestcd", "vsorres", "vsorresu")
+    vs = spread(table(spark, d, "vs").select("rec_id", "vstestcd", "vsorres", "vsorresu"))
     out = units.standardise(vs, table(spark, d, "vs_units"))
     return out.where(~F.col("is_std") & F.col("std_tenths").isNotNull()).select("rec_id", "std_tenths")
 
 
 def p5_standard(spark: SparkSession, d: str) -> DataFrame:
     """Measured values per test and unit as understood, in the standard unit."""
-    vs = table(spark, d, "vs").select("vstestcd", "vsorres", "vsorresu")
+    vs = spread(table(spark, d, "vs").select("vstestcd", "vsorres", "vsorresu"))
     out = units.standardise(vs, table(spark, d, "vs_units")).where(F.col("std_tenths").isNotNull())
     return out.groupBy("vstestcd", "unit", "std_unit").agg(F.count(F.lit(1)).alias("n"), F.min("std_tenths").alias("min_tenths"), F.max("std_tenths").alias("max_tenths"))
 

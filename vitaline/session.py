@@ -28,6 +28,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as the cluster has cores, for work that is heavy for its bytes.
+
+    Only an input of fewer partitions is moved, as a small or single file; larger ones are left as they are read. The
+    frame must come from a scan without a shuffle, so that counting its partitions runs nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that losing an executor never loses it.
 
