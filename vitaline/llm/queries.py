@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitaline.llm import mixing, packing, pii, terms, tokens
-from vitaline.session import cut_lineage, table
+from vitaline.session import cut_lineage, spread, table
 
 
 def _typed(spark: SparkSession, d: str) -> DataFrame:
@@ -24,7 +24,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
     """(doc_id, source, n_tokens), tokenised once and kept in the shared folder."""
-    docs = tokens.with_token_counts(table(spark, d, "documents").select("doc_id", "source", "text"))
+    docs = tokens.with_token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text")))
     return cut_lineage(docs.select("doc_id", "source", "n_tokens"))
 
 
@@ -61,12 +61,12 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return pii.find(table(spark, d, "documents").select("doc_id", "text"))
+    return pii.find(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Texts with typed placeholders; those without a passage come out as they are."""
-    return pii.redact(table(spark, d, "documents").select("doc_id", "text"))
+    return pii.redact(spread(table(spark, d, "documents").select("doc_id", "text")))
 
 
 QUERIES = {
