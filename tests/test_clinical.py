@@ -127,3 +127,12 @@ def test_subject_level_invariants(spark):
     s = fixtures.subjects(spark, d).cache()
     assert s.count() == fixtures.live_dm(spark, d).count() == s.select("usubjid").distinct().count()
     assert s.where("saffl = 'Y' and cumdose is null").count() == 0 and s.where("trtedt < trtsdt").count() == s.where("trtdurd < 1").count()
+
+
+def test_package_and_checklist(spark):
+    files = spark.createDataFrame([("dm.xpt", 10), ("Bad Name.xpt", 0)], "name string, bytes long")
+    assert sorted((r.rule_id, r.record) for r in checks.file_rules(files).collect()) == [("NAME-001", "Bad Name.xpt"), ("STRUCT-001", "Bad Name.xpt")]
+    r = checks.readiness(spark.createDataFrame([("DATA", True), ("DATA", False)], "g string, ok boolean"), "g", "ok").first()
+    assert (r["items"], r.complete, r.pct) == (2, 1, 50.0)
+    s = one(spark, {"y": sdtm.seriousness(F.col("a"), F.col("b")), "n": sdtm.seriousness(F.col("b")), "v": sdtm.to_standard(F.lit(2.0), F.col("u"), {"lb": 0.5}), "z": sdtm.to_standard(F.lit(2.0), F.col("b"), {"lb": 0.5})}, a="y", b=None, u=" LB ")
+    assert (s.y, s.n, s.v, s.z) == ("Y", "N", 1.0, None)

@@ -147,3 +147,21 @@ def scale_score(items: DataFrame, keys: Sequence[str], value: str, n_items: int)
     """Sum score with missing items prorated; null where fewer than half are answered."""
     g = items.groupBy(*keys).agg(F.count(value).alias("answered"), F.sum(value).alias("s"))
     return g.select(*keys, "answered", F.when(F.col("answered") * 2 >= n_items, F.col("s") * n_items / F.col("answered")).alias("score"))
+
+
+def responder(rows: DataFrame, criterion: Column) -> DataFrame:
+    """Append avalc Y or N and aval 1 or 0 by a criterion; a criterion that can't be told gives nulls. aval is replaced."""
+    kept = [c for c in rows.columns if c not in ("aval", "avalc")]
+    return rows.select(*kept, F.when(criterion, "Y").when(~criterion, "N").alias("avalc"), F.when(criterion, 1.0).when(~criterion, 0.0).alias("aval"))
+
+
+def trace(variables: DataFrame, sources: DataFrame) -> DataFrame:
+    """Whether analysis variables (dataset, variable, source_dataset, source_variable) lead back to a column.
+
+    Yes: the source column exists; Partial: only its dataset does; No: neither, or no source is named.
+    """
+    cols = sources.select(F.upper("dataset").alias("__d"), F.upper("variable").alias("__v")).distinct()
+    v = variables.withColumn("__d", F.upper("source_dataset")).withColumn("__v", F.upper("source_variable"))
+    full = v.join(cols.withColumn("__c", F.lit(1)), ["__d", "__v"], "left")
+    out = full.join(cols.select("__d", F.lit(1).alias("__s")).distinct(), "__d", "left")
+    return out.select("dataset", "variable", "source_dataset", "source_variable", F.when(F.col("__c") == 1, "Yes").when(F.col("__s") == 1, "Partial").otherwise("No").alias("traceable"))

@@ -138,3 +138,30 @@ def reconcile(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, relat
     far = F.abs(F.col("a") - F.col("b")) > F.abs(F.col("b")) * relative
     kind = F.when(F.col("__b").isNull(), "RECON-001").when(F.col("__a").isNull(), "RECON-002").when(far | (F.col("a").isNull() != F.col("b").isNull()), "RECON-003")
     return j.select(*keys, kind.alias("rule_id"), "a", "b").where(F.col("rule_id").isNotNull())
+
+
+def cross_references(refs: DataFrame, targets: DataFrame, ref: str, target: str, rule: str, dataset: str) -> DataFrame:
+    """References in metadata (object ids, codelists, annotations) that no target defines."""
+    known = targets.select(F.col(target).alias("__r")).distinct()
+    open_refs = refs.select(F.col(ref).alias("__r")).where(F.col("__r").isNotNull()).groupBy("__r").agg(F.count(F.lit(1)).alias("c")).join(known, "__r", "left_anti")
+    return _issues(open_refs, rule, "ERROR", "metadata", dataset, ref, F.col("__r"), F.col("c"), "reference has no definition")
+
+
+def file_rules(files: DataFrame, pattern: str = r"^[a-z][a-z0-9]{0,7}\.(xpt|xml|pdf|csv|json)$", most_bytes: int = 5 * 1024**3) -> DataFrame:
+    """Naming and size rules of a package listing (name, bytes)."""
+    return rows(files, "package", [
+        Rule("NAME-001", "ERROR", "package", "name", ~F.col("name").rlike(pattern), "file name is not allowed"),
+        Rule("STRUCT-001", "ERROR", "package", "bytes", F.col("bytes") == 0, "file is empty"),
+        Rule("STRUCT-002", "WARNING", "package", "bytes", F.col("bytes") > most_bytes, "file is larger than allowed"),
+    ], record="name")
+
+
+def readiness(items: DataFrame, group: str, done: str) -> DataFrame:
+    """Completed items and percent per group of a checklist."""
+    g = items.groupBy(group).agg(F.count(F.lit(1)).alias("items"), F.count_if(F.col(done)).alias("complete"))
+    return g.withColumn("pct", F.col("complete") * 100.0 / F.col("items"))
+
+
+def composite(completeness: Column, consistency: Column, types: Column, ranges: Column) -> Column:
+    """Weighted quality score of four scores in percent."""
+    return completeness * 0.4 + consistency * 0.3 + types * 0.2 + ranges * 0.1

@@ -63,7 +63,7 @@ def read_as(df: DataFrame, value: str, val_type: Column, out: str) -> DataFrame:
     bound = bind(bound, **{f"{out}_t": (F.unix_seconds(day) / 86400).cast("int")})
     plain = F.regexp_replace(F.regexp_replace(F.col(f"{out}_n").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
     text = (
-        F.when(kind == "txt", s)
+        F.when(kind == "txt", standard_null(F.col(value)))
         .when(kind == "int", F.col(f"{out}_i").cast("string"))
         .when(kind == "num", plain)
         .when(kind == "date", F.date_from_unix_date(F.col(f"{out}_t")).cast("string"))

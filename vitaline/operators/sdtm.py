@@ -149,3 +149,16 @@ def trial_elements(config: DataFrame, items: str, kind: str) -> DataFrame:
     later = F.sum(F.when(F.col("pos") >= 2, F.col("item.window")).otherwise(0)).over(w)
     day = F.when(F.col("pos") == 0, None).otherwise(later + 1).cast("int")
     return rows.select("studyid", "domain", (F.col("pos") + 1).alias("visitnum"), F.col("item.name").alias("visit"), day.alias("visitdy"))
+
+
+def seriousness(*criteria: Column) -> Column:
+    """Y if any criterion is Y, else N."""
+    out = F.lit(False)
+    for c in criteria:
+        out = out | F.coalesce(F.upper(F.trim(c)) == "Y", F.lit(False))
+    return F.when(out, "Y").otherwise("N")
+
+
+def to_standard(value: Column, unit: Column, factors: Mapping[str, float]) -> Column:
+    """Value times the factor of its unit; unknown units give null."""
+    return value * F.create_map(*[F.lit(x) for k, f in factors.items() for x in (k.lower(), float(f))])[F.lower(F.trim(unit))]

@@ -38,16 +38,20 @@ def arm_sizes(subjects: DataFrame, arm: str) -> DataFrame:
     return g.select(F.when(F.col("__g") == 1, "Total").otherwise(F.col(arm)).alias("arm"), "n")
 
 
-def frequency(events: DataFrame, subjects: DataFrame, levels: Sequence[str], arm: str = "arm") -> DataFrame:
+def frequency(events: DataFrame, subjects: DataFrame, levels: Sequence[str], arm: str = "arm", most: int = 1000) -> DataFrame:
     """Subjects and records per level and arm, with zero cells, a Total arm and percent of the arm's subjects.
 
-    events has usubjid, the levels and the arm; the grid comes from the distinct levels and arms.
+    events has usubjid, the levels and the arm; the grid comes from the distinct levels and the arms, which are
+    columns of a table and so few (more than `most` raise).
     """
     e = events.groupBy(*levels, arm, "usubjid").agg(F.count(F.lit(1)).alias("r"))
     per_arm = e.groupBy(*levels, arm).agg(F.count(F.lit(1)).alias("n_subjects"), F.sum("r").alias("n_records"))
     total = e.groupBy(*levels).agg(F.count_distinct("usubjid").alias("n_subjects"), F.sum("r").alias("n_records")).withColumn(arm, F.lit("Total"))
-    sizes = arm_sizes(subjects, arm).withColumnRenamed("arm", "__arm")
-    grid = total.select(*levels).join(sizes.select("__arm", F.col("n").alias("big_n")))
+    sizes = arm_sizes(subjects, arm).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} arms")
+    cells = F.array(*[F.struct(F.lit(r.arm).alias("__arm"), F.lit(r.n).alias("big_n")) for r in sizes])
+    grid = total.select(*levels, F.inline(cells))
     found = per_arm.unionByName(total.select(per_arm.columns)).withColumnRenamed(arm, "__arm")
     j = grid.join(found, [*levels, "__arm"], "left")
     n = F.coalesce("n_subjects", F.lit(0))

@@ -281,6 +281,24 @@ def adam_scale_score(spark: SparkSession, d: str) -> DataFrame:
     return adam.scale_score(items, ["usubjid", "visitnum"], "item", 4).select("usubjid", "visitnum", "answered", _r("score"))
 
 
+@query(f"WITH {BDS} SELECT usubjid, paramcd, rec_id, CASE WHEN pchg <= -5 THEN 'Y' WHEN pchg > -5 THEN 'N' END AS avalc, CASE WHEN pchg <= -5 THEN 1.0 WHEN pchg > -5 THEN 0.0 END AS aval FROM bds WHERE chg IS NOT NULL")
+def adam_responder(spark: SparkSession, d: str) -> DataFrame:
+    """Responders: a fall of at least 5 percent from baseline."""
+    rows = _bds(spark, d).where("chg is not null").select("usubjid", "paramcd", "rec_id", "pchg")
+    return adam.responder(rows, F.col("pchg") <= -5).drop("pchg")
+
+
+_TRACE = [("ADSL", "AGE", "DM", "AGE"), ("ADAE", "AESEV", "AE", "AESEV"), ("ADAE", "AOCCFL", "AE", "AOCCFL"), ("ADLB", "AVAL", "LB", "LBSTRESN"), ("ADSL", "NOTE", None, None)]
+
+
+@query("SELECT * FROM (VALUES ('ADSL','AGE','DM','AGE','Yes'),('ADAE','AESEV','AE','AESEV','Yes'),('ADAE','AOCCFL','AE','AOCCFL','Partial'),('ADLB','AVAL','LB','LBSTRESN','No'),('ADSL','NOTE',NULL,NULL,'No')) t(dataset,variable,source_dataset,source_variable,traceable)")
+def adam_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Trace of analysis variables to the columns of the tables at hand."""
+    cols = [(t, c) for t in ("dm", "ae") for c in table(spark, d, t).columns]
+    v = spark.createDataFrame(_TRACE, "dataset string, variable string, source_dataset string, source_variable string")
+    return adam.trace(v, spark.createDataFrame(cols, "dataset string, variable string"))
+
+
 # --- tables and statistics ----------------------------------------------------------------------------------------
 
 _CATS = [("AGEGR1", "agegr1", ["<65", ">=65"]), ("SEX", "sex", ["M", "F"]), ("RACE", "race", ["WHITE", "BLACK OR AFRICAN AMERICAN", "ASIAN"])]
@@ -546,6 +564,24 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
     return checks.union(parts)
 
 
+@query("""SELECT 'XREF-001' AS rule_id, 'ERROR' AS severity, 'metadata' AS category, 'ae' AS dataset, 'attr' AS variable, upper(trim(tsparmcd)) AS record, CAST(count(*) AS VARCHAR) AS value, 'reference has no definition' AS message FROM ts
+  WHERE upper(trim(tsparmcd)) NOT IN (SELECT attr FROM param_spec WHERE val_type IN ('txt', 'int') AND attr IS NOT NULL) GROUP BY upper(trim(tsparmcd))""")
+def check_cross_references(spark: SparkSession, d: str) -> DataFrame:
+    """Parameters in use that a (narrowed) specification does not define."""
+    refs = table(spark, d, "ts").select(F.upper(F.trim("tsparmcd")).alias("attr"))
+    return checks.cross_references(refs, table(spark, d, "param_spec").where("val_type in ('txt', 'int')"), "attr", "attr", "XREF-001", "ae")
+
+
+@query("""WITH g AS (SELECT load_no, count(*) AS n, count(nullif(trim(aesev),'')) * 100.0 / count(*) AS a, count(CASE WHEN upper(aeterm) = aedecod THEN 1 END) * 100.0 / count(*) AS b, count(CASE WHEN rec_id IS NOT NULL THEN 1 END) * 100.0 / count(*) AS c,
+  count(CASE WHEN upper(trim(aesev)) IN ('MILD','MODERATE','SEVERE') THEN 1 END) * 100.0 / count(*) AS e FROM ae GROUP BY 1) SELECT load_no, n, round(a * 0.4 + b * 0.3 + c * 0.2 + e * 0.1, 6) AS score FROM g""")
+def check_composite_score(spark: SparkSession, d: str) -> DataFrame:
+    """Weighted score of each load: completeness, consistency of term and code, types, terminology."""
+    n = F.count(F.lit(1))
+    parts = [F.col("aesev").isNotNull() & (F.trim("aesev") != ""), F.upper("aeterm") == F.col("aedecod"), F.col("rec_id").isNotNull(), F.upper(F.trim("aesev")).isin("MILD", "MODERATE", "SEVERE")]
+    pct = [F.count_if(p) * 100.0 / n for p in parts]
+    return table(spark, d, "ae").groupBy("load_no").agg(n.alias("n"), F.round(checks.composite(*pct), 6).alias("score"))
+
+
 # --- graph --------------------------------------------------------------------------------------------------------
 
 
