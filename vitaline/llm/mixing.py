@@ -168,5 +168,5 @@ def shares(mixture: DataFrame, targets: list[Target]) -> DataFrame:
     t = spark.createDataFrame([(x.source, float(x.share), x.max_repeats) for x in targets], "source string, target_share double, max_repeats int")
     per = mixture.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("n_docs"), F.max("uses").alias("most_uses"))
     j = t.join(per, "source", "left").select("source", "target_share", "max_repeats", *[F.coalesce(x, F.lit(0)).alias(x) for x in ("tokens", "n_docs", "most_uses")])
-    total = j.agg(F.sum("tokens").alias("total"))
-    return j.crossJoin(total).select("*", F.round(F.try_divide(F.col("tokens").cast("double"), F.col("total").cast("double")), 6).alias("share")).drop("total")
+    total = F.sum("tokens").over(Window.partitionBy())  # one row per target
+    return j.select("*", F.round(F.try_divide(F.col("tokens").cast("double"), total.cast("double")), 6).alias("share"))
