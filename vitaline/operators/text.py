@@ -27,10 +27,13 @@ def population(c: Column) -> Column:
 
 
 def shells(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, number, title) of the tables, figures and listings a text announces as `Table 14.1: title`."""
+    """(doc_id, kind, number, title) of the tables, figures and listings a text announces as `Table 14.1: title`.
+
+    A title runs to the end of its line or to the next announcement in it.
+    """
     parts = []
     for kind in ("table", "figure", "listing"):
-        p = rf"(?i)\b{kind}\s+(\d+(?:\.\d+)*)\s*[:\-–]\s*([^\n]+)"
+        p = rf"(?i)\b{kind}\s+(\d+(?:\.\d+)*)\s*[:\-–]\s*([^\n]+?)(?=\s*\b(?:table|figure|listing)\s+\d+(?:\.\d+)*\s*[:\-–]|\n|\z)"
         text = F.col("text")
         z = F.arrays_zip(F.regexp_extract_all(text, F.lit(p), F.lit(1)).alias("number"), F.regexp_extract_all(text, F.lit(p), F.lit(2)).alias("title"))
         parts.append(docs.select("doc_id", F.lit(kind).alias("kind"), F.inline(z)).select("doc_id", "kind", "number", F.trim("title").alias("title")))
@@ -40,14 +43,14 @@ def shells(docs: DataFrame) -> DataFrame:
 def endpoints(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, id, name, method, population) of listed primary and secondary endpoints.
 
-    A section runs from its heading to the next heading of the plan; items are numbered or bulleted lines of at
-    least 10 characters; numbers restart in every section.
+    A section runs from its heading to the next heading of the plan, and a text may have several of a kind; items are
+    numbered or bulleted lines of at least 10 characters; numbers restart in every section.
     """
     parts = []
     for kind, prefix, width in (("primary", "EP", 3), ("secondary", "EP_S", 2)):
-        section = F.regexp_extract(F.col("text"), rf"(?is){kind} endpoints?\s*:?(.*?)(?=(?:primary|secondary|exploratory) endpoint|analysis population|statistical method|\z)", 1)
-        items = F.filter(F.transform(F.split(section, r"\n\s*(?:\d+\.?|[a-z]\)|•|-)\s*"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10)
-        rows = docs.select("doc_id", F.lit(kind).alias("kind"), F.posexplode(items).alias("pos", "item"))
+        sections = F.regexp_extract_all(F.col("text"), F.lit(rf"(?is){kind} endpoints?\s*:?(.*?)(?=(?:primary|secondary|exploratory) endpoint|analysis population|statistical method|\z)"), F.lit(1))
+        items = F.filter(F.transform(F.split("section", r"\n\s*(?:\d+\.?|[a-z]\)|•|-)\s*"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10)
+        rows = docs.select("doc_id", F.explode(sections).alias("section")).select("doc_id", F.lit(kind).alias("kind"), F.posexplode(items).alias("pos", "item"))
         line = F.substring_index("item", "\n", 1)
         name = F.when(line.contains("."), F.trim(F.substring_index(line, ".", 1))).otherwise(F.substring(line, 1, 100))
         parts.append(rows.select("doc_id", "kind", F.concat(F.lit(prefix), F.lpad((F.col("pos") + 1).cast("string"), width, "0")).alias("id"), name.alias("name"), method(F.col("item")).alias("method"), population(F.col("item")).alias("population")))

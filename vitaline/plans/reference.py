@@ -672,6 +672,31 @@ def text_arms(spark: SparkSession, d: str) -> DataFrame:
     return text.arms(X.plans(spark))
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", "text")
+
+
+@query()
+def text_shells_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Shells announced in whole documents; text_shells with its SQL is the same operator over one plan."""
+    return text.shells(_documents(spark, d))
+
+
+@query()
+def text_endpoints_documents(spark: SparkSession, d: str) -> DataFrame:
+    return text.endpoints(_documents(spark, d))
+
+
+@query()
+def text_study_documents(spark: SparkSession, d: str) -> DataFrame:
+    return text.study(_documents(spark, d))
+
+
+@query()
+def text_arms_documents(spark: SparkSession, d: str) -> DataFrame:
+    return text.arms(_documents(spark, d))
+
+
 def _classify_sql(c: str, patterns: dict, default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({c}, '(?i){p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in patterns.items()) + f" ELSE '{default}' END"
 
