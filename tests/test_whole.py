@@ -28,3 +28,12 @@ def test_every_section_and_shell_of_a_line(spark):
     docs = spark.createDataFrame([(1, "The primary endpoint is survival at Week 4. 10.8 The primary endpoint is rescue doses. Table 1.1: One. Table 1.2: Two.")], "doc_id long, text string")
     assert [r.name for r in text.endpoints(docs).collect()] == ["is survival at Week 4", "is rescue doses"]
     assert [(r.number, r.title) for r in text.shells(docs).collect()] == [("1.1", "One."), ("1.2", "Two.")]
+
+
+def test_findings_of_every_test_and_lineitem(spark):
+    q = entry.queries()
+    tests = duckdb.sql(f"select vstestcd, count(*) from '{D}/vs.parquet' group by 1").fetchall()
+    assert len(tests) == 8
+    assert sorted(q["adam_adlb_all"](spark, D).groupBy("paramcd").count().collect()) == sorted(tests)
+    assert q["adam_derived_records_all"](spark, D).select("paramcd").distinct().count() == 8
+    assert q["sdtm_lb_all"](spark, D).count() == duckdb.sql(f"select count(*) from '{D}/lineitem.parquet'").fetchall()[0][0]

@@ -49,6 +49,23 @@ lab AS (SELECT v.usubjid, vstestcd AS paramcd, vsstresn AS aval, {ISO.format(c="
   v.rec_id, s.trtsdt FROM vs v LEFT JOIN starts s ON v.usubjid = s.usubjid WHERE vstestcd IN ('SYSBP','PULSE','WEIGHT'))"""
 
 
+#: Normal range per vital sign, in its standard unit; the first three as in lab_rows.
+RANGES = {"SYSBP": (100.0, 140.0), "PULSE": (60.0, 100.0), "WEIGHT": (50.0, 90.0), "DIABP": (60.0, 90.0), "RESP": (12.0, 20.0), "TEMP": (36.0, 38.0), "OXYSAT": (95.0, 100.0), "HEIGHT": (150.0, 190.0)}
+
+
+def all_lab_rows(spark: SparkSession, d: str) -> DataFrame:
+    """lab_rows of every test; one without a range in RANGES keeps its rows with a null range."""
+    ranges = spark.createDataFrame([(k, *v) for k, v in RANGES.items()], "paramcd string, lo double, hi double")
+    starts = table(spark, d, "ex").groupBy(C.key_norm(F.col("usubjid")).alias("usubjid")).agg(F.min(C.iso_date(F.col("exstdtc"))).alias("trtsdt"))
+    v = table(spark, d, "vs").select("usubjid", F.col("vstestcd").alias("paramcd"), F.col("vsstresn").alias("aval"), C.iso_date(F.col("vsdtc")).alias("adt"), "rec_id")
+    return v.join(ranges, "paramcd", "left").join(starts, "usubjid", "left")
+
+
+LAB_ALL = f"""starts AS (SELECT upper(trim(usubjid)) AS usubjid, min({ISO.format(c="exstdtc")}) AS trtsdt FROM ex GROUP BY 1),
+ranges(vstestcd, lo, hi) AS (VALUES {", ".join(f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE)" for k, (lo, hi) in RANGES.items())}),
+lab AS (SELECT v.usubjid, v.vstestcd AS paramcd, vsstresn AS aval, {ISO.format(c="vsdtc")} AS adt, r.lo, r.hi, v.rec_id, s.trtsdt FROM vs v LEFT JOIN ranges r ON v.vstestcd = r.vstestcd LEFT JOIN starts s ON v.usubjid = s.usubjid)"""
+
+
 def study_config(spark: SparkSession) -> DataFrame:
     """One study's arms, criteria and visits."""
     return spark.sql(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -89,8 +90,8 @@ def sdtm_vs(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice, p_type AS lbtestcd, l_quantity AS lbstresn, CAST(10 + p_size % 10 AS DOUBLE) AS lo, CAST(30 + p_size % 15 AS DOUBLE) AS hi,
   CASE WHEN l_quantity IS NULL OR p_size IS NULL THEN NULL WHEN l_quantity < 10 + p_size % 10 THEN 'L' WHEN l_quantity > 30 + p_size % 15 THEN 'H' ELSE 'N' END AS lbnrind
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_returnflag <> 'R'""")
-def sdtm_lb(spark: SparkSession, d: str) -> DataFrame:
-    j = table(spark, d, "lineitem").where("l_returnflag <> 'R'").join(table(spark, d, "part").select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
+def sdtm_lb(spark: SparkSession, d: str, where: str = "l_returnflag <> 'R'") -> DataFrame:
+    j = table(spark, d, "lineitem").where(where).join(table(spark, d, "part").select("p_partkey", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     j = j.withColumns({"lo": (10 + F.col("p_size") % 10).cast("double"), "hi": (30 + F.col("p_size") % 15).cast("double")})
     return j.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice", F.col("p_type").alias("lbtestcd"), F.col("l_quantity").alias("lbstresn"), "lo", "hi", sdtm.range_indicator(F.col("l_quantity"), F.col("lo"), F.col("hi")).alias("lbnrind"))
 
@@ -220,28 +221,28 @@ bds AS (SELECT usubjid, paramcd, rec_id, aval, adt, ady, ablfl, base, chg, CASE
 _BDS_COLS = ["usubjid", "paramcd", "rec_id", "aval", "adt", "ady", "ablfl", "base", "anrind", "bnrind", "shift1", "avisit", "avisitn"]
 
 
-def _bds(spark: SparkSession, d: str) -> DataFrame:
-    return adam.bds(X.lab_rows(spark, d), WINDOWS)
+def _bds(spark: SparkSession, d: str, rows: Callable[[SparkSession, str], DataFrame] = X.lab_rows) -> DataFrame:
+    return adam.bds(rows(spark, d), WINDOWS)
 
 
 @query(f"WITH {BDS} SELECT {', '.join(_BDS_COLS)}, round(chg, 6) AS chg, round(pchg, 6) AS pchg FROM bds")
-def adam_adlb(spark: SparkSession, d: str) -> DataFrame:
-    return _bds(spark, d).select(*_BDS_COLS, _r("chg"), _r("pchg"))
+def adam_adlb(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
+    return _bds(spark, d, rows).select(*_BDS_COLS, _r("chg"), _r("pchg"))
 
 
 @query(f"WITH {BDS} SELECT paramcd, avisit, bnrind, count(CASE WHEN anrind = 'L' THEN 1 END) AS \"L\", count(CASE WHEN anrind = 'N' THEN 1 END) AS \"N\", count(CASE WHEN anrind = 'H' THEN 1 END) AS \"H\" FROM bds WHERE bnrind IS NOT NULL GROUP BY 1, 2, 3")
-def adam_shift(spark: SparkSession, d: str) -> DataFrame:
-    return tfl.shift_table(_bds(spark, d), ["paramcd", "avisit"])
+def adam_shift(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
+    return tfl.shift_table(_bds(spark, d, rows), ["paramcd", "avisit"])
 
 
 @query(f"WITH {BDS} SELECT usubjid, paramcd, rec_id, last_value(aval IGNORE NULLS) OVER (PARTITION BY usubjid, paramcd ORDER BY adt NULLS FIRST, rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS aval_locf FROM bds")
-def adam_locf(spark: SparkSession, d: str) -> DataFrame:
-    return adam.locf(_bds(spark, d), ["usubjid", "paramcd"], ["adt", "rec_id"]).select("usubjid", "paramcd", "rec_id", "aval_locf")
+def adam_locf(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
+    return adam.locf(_bds(spark, d, rows), ["usubjid", "paramcd"], ["adt", "rec_id"]).select("usubjid", "paramcd", "rec_id", "aval_locf")
 
 
 @query(f"WITH {BDS}, g AS (SELECT usubjid, paramcd, avg(aval) AS a, max(aval) AS w FROM bds WHERE aval IS NOT NULL GROUP BY 1, 2) SELECT usubjid, paramcd, 'AVERAGE' AS dtype, round(a, 6) AS aval FROM g UNION ALL SELECT usubjid, paramcd, 'WORST', round(w, 6) FROM g")
-def adam_derived_records(spark: SparkSession, d: str) -> DataFrame:
-    return adam.derived_records(_bds(spark, d), ["usubjid", "paramcd"]).select("usubjid", "paramcd", "dtype", _r("aval"))
+def adam_derived_records(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
+    return adam.derived_records(_bds(spark, d, rows), ["usubjid", "paramcd"]).select("usubjid", "paramcd", "dtype", _r("aval"))
 
 
 TTE_PARAMS = [("TTDISC", "Time to Discontinuation (Days)"), ("TTFSAE", "Time to First SAE (Days)")]
@@ -282,10 +283,10 @@ def adam_scale_score(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {BDS} SELECT usubjid, paramcd, rec_id, CASE WHEN pchg <= -5 THEN 'Y' WHEN pchg > -5 THEN 'N' END AS avalc, CASE WHEN pchg <= -5 THEN 1.0 WHEN pchg > -5 THEN 0.0 END AS aval FROM bds WHERE chg IS NOT NULL")
-def adam_responder(spark: SparkSession, d: str) -> DataFrame:
+def adam_responder(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
     """Responders: a fall of at least 5 percent from baseline."""
-    rows = _bds(spark, d).where("chg is not null").select("usubjid", "paramcd", "rec_id", "pchg")
-    return adam.responder(rows, F.col("pchg") <= -5).drop("pchg")
+    changed = _bds(spark, d, rows).where("chg is not null").select("usubjid", "paramcd", "rec_id", "pchg")
+    return adam.responder(changed, F.col("pchg") <= -5).drop("pchg")
 
 
 _TRACE = [("ADSL", "AGE", "DM", "AGE"), ("ADAE", "AESEV", "AE", "AESEV"), ("ADAE", "AOCCFL", "AE", "AOCCFL"), ("ADLB", "AVAL", "LB", "LBSTRESN"), ("ADSL", "NOTE", None, None)]
@@ -373,9 +374,9 @@ def tfl_cmh(spark: SparkSession, d: str) -> DataFrame:
 g AS (SELECT paramcd, t, count(*) AS n, avg(y) AS my, avg(x) AS mx, covar_pop(y, x) AS cxy, var_pop(x) AS vx FROM r GROUP BY 1, 2),
 w AS (SELECT paramcd, sum(n * cxy) / nullif(sum(n * vx), 0) AS slope, max(CASE WHEN t = 0 THEN n END) AS n0, max(CASE WHEN t = 1 THEN n END) AS n1, max(CASE WHEN t = 0 THEN my END) AS my0, max(CASE WHEN t = 1 THEN my END) AS my1, max(CASE WHEN t = 0 THEN mx END) AS mx0, max(CASE WHEN t = 1 THEN mx END) AS mx1 FROM g GROUP BY 1)
 SELECT paramcd, n0 AS n_control, n1 AS n_treated, round(slope, 6) AS slope, round((my1 - my0) - slope * (mx1 - mx0), 6) AS effect FROM w""")
-def tfl_ancova(spark: SparkSession, d: str) -> DataFrame:
+def tfl_ancova(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
     dm = sdtm.map_dm(X.live_dm(spark, d)).select("usubjid", "actarm")
-    j = _bds(spark, d).join(dm, "usubjid")
+    j = _bds(spark, d, rows).join(dm, "usubjid")
     return tfl.ancova(j, ["paramcd"], "chg", "base", F.coalesce(F.col("actarm"), F.lit("")) != "Placebo").select("paramcd", "n_control", "n_treated", _r("slope"), _r("effect"))
 
 
@@ -385,12 +386,25 @@ def tfl_listing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {BDS}, g AS (SELECT paramcd, usubjid, min(pchg) AS best FROM bds WHERE pchg IS NOT NULL GROUP BY 1, 2) SELECT paramcd, usubjid, round(best, 6) AS best, row_number() OVER (PARTITION BY paramcd ORDER BY round(best, 6) DESC, usubjid) AS rank FROM g")
-def tfl_waterfall(spark: SparkSession, d: str) -> DataFrame:
+def tfl_waterfall(spark: SparkSession, d: str, rows=X.lab_rows) -> DataFrame:
     """Subjects of each parameter ranked by their best percent change."""
-    g = _bds(spark, d).where("pchg is not null").groupBy("paramcd", "usubjid").agg(F.round(F.min("pchg"), 6).alias("best"))
+    g = _bds(spark, d, rows).where("pchg is not null").groupBy("paramcd", "usubjid").agg(F.round(F.min("pchg"), 6).alias("best"))
     return g.withColumn("rank", F.row_number().over(Window.partitionBy("paramcd").orderBy(F.desc("best"), "usubjid")))
 
 
+def _all_rows(name: str, f, narrow: str, whole: str) -> None:
+    """Register f as name_all, with name's SQL where `narrow` reads `whole`."""
+    if narrow not in SQL[name]:
+        raise ValueError(f"{name}: its SQL does not hold the narrow part")
+    QUERIES[f"{name}_all"], SQL[f"{name}_all"] = f, SQL[name].replace(narrow, whole)
+
+
+#: The queries above keep three tests, as their SQL does; these take every test of vs.
+for _f in (adam_adlb, adam_shift, adam_locf, adam_derived_records, adam_responder, tfl_ancova, tfl_waterfall):
+    _all_rows(_f.__name__, partial(_f, rows=X.all_lab_rows), X.LAB, X.LAB_ALL)
+_all_rows("sdtm_lb", partial(sdtm_lb, where="true"), " WHERE l_returnflag <> 'R'", "")
+
+
 @query(f"""WITH {ADSL}, u AS (SELECT 'sex' AS factor, sex AS level, disconfl, trt01a FROM asl UNION ALL SELECT 'agegr1', agegr1, disconfl, trt01a FROM asl UNION ALL SELECT 'racegr1', racegr1, disconfl, trt01a FROM asl)
 SELECT factor, level, count(*) AS n, count(CASE WHEN trt01a = 'Placebo' THEN 1 END) AS n_placebo, count(CASE WHEN disconfl = 'Y' THEN 1 END) AS events, round(count(CASE WHEN disconfl = 'Y' THEN 1 END) * 100.0 / count(*), 6) AS pct FROM u WHERE level IS NOT NULL GROUP BY 1, 2""")
 def tfl_forest(spark: SparkSession, d: str) -> DataFrame:
