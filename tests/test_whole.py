@@ -37,3 +37,31 @@ def test_findings_of_every_test_and_lineitem(spark):
     assert sorted(q["adam_adlb_all"](spark, D).groupBy("paramcd").count().collect()) == sorted(tests)
     assert q["adam_derived_records_all"](spark, D).select("paramcd").distinct().count() == 8
     assert q["sdtm_lb_all"](spark, D).count() == duckdb.sql(f"select count(*) from '{D}/lineitem.parquet'").fetchall()[0][0]
+
+
+def test_fuzzy_labels_meet_whatever_their_first_letters(spark):
+    import random
+
+    from vitaline.operators import tfl
+
+    rnd = random.Random(5)
+
+    def typo(w):
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(w) + 1)
+            w = rnd.choice([w[:i] + w[i + 1 :], w[:i] + rnd.choice("ABÉ") + w[i:], w[:i] + rnd.choice("ABÉ") + w[i + 1 :]])
+        return w
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    right = {"VOMITING", "TACHYCARDIA", "SYNCOPE", "A", "AB", "BA", "FEVER", "FEVERS"}
+    left = {typo(rnd.choice(sorted(right))) for _ in range(200)} | {"VAMITING", "TCHYCARDIA"}
+    df = [spark.createDataFrame([(x,) for x in sorted(s)], "label string") for s in (left, right)]
+    want = {(x, *min((distance(x, y), y) for y in right)[::-1]) for x in left - right}
+    assert {tuple(r) for r in tfl.fuzzy_labels(*df, "label", 2).collect()} == {w for w in want if w[2] <= 2}

@@ -144,12 +144,41 @@ def compare(prod: DataFrame, qc: DataFrame, keys: Sequence[str], value: str, tol
     return j.select(*keys, "prod", "qc", status.alias("status"))
 
 
-def fuzzy_labels(left: DataFrame, right: DataFrame, label: str, most: int, block: int = 1) -> DataFrame:
+def _segments(length: Column, most: int) -> list[tuple[Column, Column]]:
+    """(start from 0, length) of the most + 1 parts that a label of this length is cut into."""
+    ends = [F.floor(length * i / (most + 1)).cast("int") for i in range(most + 2)]
+    return [(a, b - a) for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def _candidates(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
+    """Pairs (l, r) that may be within `most` edits; none that is gets lost.
+
+    So many edits leave one of r's most + 1 parts as it is, in l at most that many places away; that part is the key.
+    """
+    n = F.length("r")
+    right = F.array(*[F.struct(n.alias("n"), F.lit(i).alias("i"), F.substr("r", at + 1, size).alias("part")) for i, (at, size) in enumerate(_segments(n, most))])
+    left, m = [], F.length("l")
+    for more in range(-most, most + 1):
+        for i, (at, size) in enumerate(_segments(m + more, most)):
+            for off in range(-most, most + 1):
+                inside = (m + more >= 0) & (at + off >= 0) & (at + off + size <= m)
+                left.append(F.when(inside, F.struct((m + more).alias("n"), F.lit(i).alias("i"), F.substr("l", at + off + 1, size).alias("part"))))
+    lk = a.select("l", F.explode(F.array_distinct(F.array_compact(F.array(*left)))).alias("k"))
+    rk = b.select("r", F.explode(right).alias("k"))
+    return lk.select("l", "k.*").join(rk.select("r", "k.*"), ["n", "i", "part"]).select("l", "r").distinct()
+
+
+def fuzzy_labels(left: DataFrame, right: DataFrame, label: str, most: int, block: int | None = None) -> DataFrame:
     """Closest label of the right side for every left label without an exact partner, within `most` edits.
 
-    Labels meet only where their first letters agree (a block), never all against all.
+    Candidates come from an index over parts of the labels, complete for `most` edits. With `block` labels meet only
+    where that many first letters agree, and partners with a typing error there are lost.
     """
-    a = left.select(F.col(label).alias("l")).distinct().join(right.select(F.col(label).alias("l")).distinct(), "l", "left_anti").withColumn("b", F.lower(F.substring("l", 1, block)))
-    b = right.select(F.col(label).alias("r")).distinct().withColumn("b", F.lower(F.substring("r", 1, block)))
-    j = a.join(b, "b").withColumn("edits", F.levenshtein("l", "r")).where(F.col("edits") <= most)
+    a = left.select(F.col(label).alias("l")).distinct().join(right.select(F.col(label).alias("l")).distinct(), "l", "left_anti")
+    b = right.select(F.col(label).alias("r")).distinct()
+    if block is None:
+        j = _candidates(a, b, most)
+    else:
+        j = a.withColumn("b", F.lower(F.substring("l", 1, block))).join(b.withColumn("b", F.lower(F.substring("r", 1, block))), "b")
+    j = j.withColumn("edits", F.levenshtein("l", "r")).where(F.col("edits") <= most)
     return j.groupBy("l").agg(F.min_by(F.struct("r", "edits"), F.struct("edits", "r")).alias("m")).select("l", "m.r", "m.edits")

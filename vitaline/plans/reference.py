@@ -426,9 +426,13 @@ def tfl_compare(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH l AS (SELECT DISTINCT upper(aeterm) AS l FROM adae), r AS (SELECT DISTINCT upper(term) AS r FROM canon_terms),
 a AS (SELECT l FROM l WHERE l IS NOT NULL AND l NOT IN (SELECT r FROM r WHERE r IS NOT NULL)), j AS (SELECT l, r, levenshtein(l, r) AS e FROM a JOIN r ON lower(substr(l,1,2)) = lower(substr(r,1,2)))
 SELECT l, r, e AS edits FROM j WHERE e <= 2 QUALIFY row_number() OVER (PARTITION BY l ORDER BY e, r) = 1""")
-def tfl_fuzzy_labels(spark: SparkSession, d: str) -> DataFrame:
+def tfl_fuzzy_labels(spark: SparkSession, d: str, block: int | None = 2) -> DataFrame:
     left = table(spark, d, "adae").select(F.upper("aeterm").alias("label"))
-    return tfl.fuzzy_labels(left, table(spark, d, "canon_terms").select(F.upper("term").alias("label")), "label", 2, block=2)
+    return tfl.fuzzy_labels(left, table(spark, d, "canon_terms").select(F.upper("term").alias("label")), "label", 2, block=block)
+
+
+#: Labels meet whatever their first letters are; the query above and its SQL want the first two equal.
+_all_rows("tfl_fuzzy_labels", partial(tfl_fuzzy_labels, block=None), "ON lower(substr(l,1,2)) = lower(substr(r,1,2))", "ON abs(length(l) - length(r)) <= 2")
 
 
 # --- checks -------------------------------------------------------------------------------------------------------
