@@ -65,3 +65,31 @@ def test_fuzzy_labels_meet_whatever_their_first_letters(spark):
     df = [spark.createDataFrame([(x,) for x in sorted(s)], "label string") for s in (left, right)]
     want = {(x, *min((distance(x, y), y) for y in right)[::-1]) for x in left - right}
     assert {tuple(r) for r in tfl.fuzzy_labels(*df, "label", 2).collect()} == {w for w in want if w[2] <= 2}
+
+
+def test_profile_shows_violations_and_share_changes_of_every_column(spark):
+    from vitaline.plans import problems
+
+    rows = entry.queries()["p3_profile"](spark, D).collect()
+    got = {(r.tab, r["col"], r.load_no): r for r in rows}
+    for (tab, col, load), r in got.items():
+        if col in problems.PATTERNS[tab] and r.n_missing < r.n_rows:
+            assert r.n_violations is not None, (tab, col, load)
+    for tab, col in (("dm", "sex"), ("dm", "race"), ("adsl", "ethnic"), ("ae", "aeout")):
+        counts = {}
+        for load, v, n in duckdb.sql(f"select load_no, {col}, count(*) from '{D}/{tab}.parquet' where load_no is not null and trim({col}) <> '' group by 1, 2").fetchall():
+            counts.setdefault(load, {})[v] = n
+        loads = sorted({k[2] for k in got if k[:2] == (tab, col)})
+        for was, now in zip(loads, loads[1:], strict=False):
+            a, b = counts.get(was), counts.get(now)
+            want = a and b and sum(abs(b.get(v, 0) / sum(b.values()) - a.get(v, 0) / sum(a.values())) for v in a | b) / 2
+            have = got[tab, col, now].share_diff
+            assert (have is None and not want) or abs(have - want) < 2e-6
+        assert got[tab, col, loads[0]].share_diff is None
+
+
+def test_profile_sums_of_integers_are_exact(spark):
+    from vitaline.operators import profile
+
+    df = spark.createDataFrame([(0, 10**15 + 1), (0, 10**15 + 2), (0, 10**15 + 3), (1, 2**62), (1, 2**62)], "load_no int, n long")
+    assert [r.sd for r in profile.profile(df, "t").orderBy("load_no").collect()] == [1.0, 0.0]

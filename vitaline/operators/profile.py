@@ -126,17 +126,38 @@ def findings(tables: dict[str, DataFrame], expectations: list[Expectation]) -> D
     return out
 
 
+def _share_changes(df: DataFrame, cols: list[str], load: str) -> DataFrame:
+    """(col, load_no, share_diff): half the sum over the values of the differences of their shares to the load before.
+
+    As in categorical_findings, but of all columns at once: each count goes to its own load and to the next one. Null
+    where one of the two loads has no filled value.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("col"), filled(F.col(f"`{c}`")).alias("value")) for c in cols]) if cols else F.array().cast("array<struct<col:string,value:string>>")
+    counts = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load_no"), F.inline(cells)).groupBy("col", "load_no", "value").agg(F.count(F.lit(1)).cast(BIG).alias("c"))
+    w, c, zero = Window.partitionBy("col").orderBy("load_no"), F.col("c"), F.lit(0).cast(BIG)
+    totals = counts.groupBy("col", "load_no").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), c)), zero).cast(BIG).alias("f"))
+    t = totals.select("*", F.lag("f").over(w).alias("pf"), F.lead("load_no").over(w).alias("next"))
+    here = counts.where(F.col("value").isNotNull()).join(t.select("col", "load_no", "next"), ["col", "load_no"])
+    ends = F.array(F.struct(F.col("load_no"), c.alias("now"), zero.alias("was")), F.struct(F.col("next").alias("load_no"), zero.alias("now"), c.alias("was")))
+    per = here.select("col", "value", F.explode(ends).alias("e")).where(F.col("e.load_no").isNotNull()).select("col", "value", "e.*").groupBy("col", "load_no", "value").agg(F.sum("now").cast(BIG).alias("now"), F.sum("was").cast(BIG).alias("was"))
+    diff = F.sum(F.abs(F.col("now") * F.col("pf") - F.col("was") * F.col("f")).cast(BIG)).cast("double")
+    return per.join(t.select("col", "load_no", "f", "pf").where("f > 0 and pf > 0"), ["col", "load_no"]).groupBy("col", "load_no").agg((diff / (2 * F.max(F.col("f").cast("double") * F.col("pf").cast("double")))).alias("share_diff"))
+
+
 def profile(df: DataFrame, tab: str, patterns: dict[str, str] | None = None, load: str = "load_no") -> DataFrame:
     """Profile of every column and load: rows, missing, distinct values, range, violations of a pattern, mean, standard
-    deviation and the standardised difference of means to the load before.
+    deviation and the change to the load before: the standardised difference of means of a numeric column, half the sum
+    of the differences of the values' shares of any other one.
 
     Every cell is counted once as (column, load, value), so distinct counts are exact and duplicates collapse on the
-    map side. Ranges compare numbers as numbers and anything else as text.
+    map side. Ranges compare numbers as numbers and anything else as text. The power sums of integer columns are exact
+    decimals, those of fractions (and sums beyond 38 digits) doubles.
     """
     patterns = patterns or {}
     kinds = dict(df.dtypes)
     numeric = [c for c, k in kinds.items() if k in ("int", "bigint", "double", "float", "smallint", "tinyint") or k.startswith("decimal")]
     cols = [c for c in df.columns if c != load and not kinds[c].startswith(("array", "map", "struct", "binary"))]
+    whole = [c for c in numeric if kinds[c].endswith("int") or kinds[c].endswith(",0)")]
     if not cols:
         raise ValueError("no column to profile")
     bad = {c: ~filled(F.col(f"`{c}`")).rlike(p) for c, p in patterns.items()}
@@ -150,14 +171,21 @@ def profile(df: DataFrame, tab: str, patterns: dict[str, str] | None = None, loa
     long = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load_no"), F.inline(cells))
     groups = long.groupBy("col", "load_no", "value").agg(F.count(F.lit(1)).alias("c"), F.first("num").alias("num"), F.first("bad").alias("bad"))
     c, x = F.col("c").cast("double"), F.when(~F.isnan("num"), F.col("num"))
+    k, z = F.col("c").cast(BIG), F.when(F.col("col").isin(*whole), F.col("value")).cast(BIG)
+    sums = {"__e1": F.try_multiply(k, z), "__e2": F.try_multiply(k, F.try_multiply(z, z))}
     agg = groups.groupBy("col", "load_no").agg(
         F.sum("c").alias("n_rows"), F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("c"))), F.lit(0)).alias("n_missing"),
         F.count("value").alias("n_distinct"), F.min("value").alias("min_text"), F.max("value").alias("max_text"), F.min(x).alias("min_num"), F.max(x).alias("max_num"),
         F.when(F.count("bad") > 0, F.sum(F.when(F.col("bad"), F.col("c")).otherwise(0))).alias("n_violations"),
         F.sum(F.when(x.isNotNull(), c)).alias("__n"), F.sum(c * x).alias("__s1"), F.sum(c * x * x).alias("__s2"),
+        *[F.when(F.count(v) == F.count(z), F.try_sum(v)).alias(name) for name, v in sums.items()],
     )
-    mean, n = F.col("__s1") / F.col("__n"), F.col("__n")
-    agg = agg.withColumn("mean", mean).withColumn("sd", F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), (F.col("__s2") - n * F.col("mean") * F.col("mean")) / (n - 1)))))
+    n = F.col("__n")
+    exact = F.try_subtract(F.try_multiply(n.cast(BIG), F.col("__e2").cast(BIG)), F.try_multiply(F.col("__e1").cast(BIG), F.col("__e1").cast(BIG))).cast("double") / n
+    agg = agg.withColumn("mean", F.coalesce(F.col("__e1").cast("double"), F.col("__s1")) / n)
+    squares = F.coalesce(exact, F.col("__s2") - n * F.col("mean") * F.col("mean"))
+    agg = agg.withColumn("sd", F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares) / (n - 1))))
+    agg = agg.join(_share_changes(df, [c for c in cols if c not in numeric], load), ["col", "load_no"], "left")
     w = Window.partitionBy("col").orderBy("load_no")
     pooled = F.sqrt((F.col("sd") * F.col("sd") + F.lag("sd").over(w) * F.lag("sd").over(w)) / 2)
     text = F.when(F.col("__n").isNull(), F.col("min_text")), F.when(F.col("__n").isNull(), F.col("max_text"))
@@ -165,4 +193,5 @@ def profile(df: DataFrame, tab: str, patterns: dict[str, str] | None = None, loa
         F.lit(tab).alias("tab"), "col", "load_no", "n_rows", "n_missing", "n_distinct", text[0].alias("min_text"), text[1].alias("max_text"), "min_num", "max_num",
         "n_violations", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"),
         F.round(F.when(pooled > 0, (F.col("mean") - F.lag("mean").over(w)) / pooled), 6).alias("std_diff"),
+        F.round("share_diff", 6).alias("share_diff"),
     )

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitaline import registry as R
 from vitaline.operators import orphans, profile, reshape, timestamps, units
 from vitaline.session import spread, table
 
@@ -16,6 +18,30 @@ EXPECTED = [
     profile.Expectation("adsl", "saffl", codes=("Y", "N")),
     profile.Expectation("ae", "aesev", codes=("MILD", "MODERATE", "SEVERE")),
 ]
+
+
+def _codes(values) -> str:
+    return "^(" + "|".join(re.escape(v) for v in values) + ")$"
+
+
+_DATE = r"^\d{4}(-(0[1-9]|1[0-2])(-(0[1-9]|[12]\d|3[01])([T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
+_KEYS = {"studyid": r"^ST\d{6}$", "usubjid": r"^ST\d{6}-\d{3}-\d{6}$", "rec_id": r"^\d+$", "received_at": _DATE}
+_SUBJECT = _KEYS | {"subjid": r"^\d{6}$", "siteid": r"^\d{3}$", "domain": "^DM$", "ageu": "^YEARS$", "country": "^[A-Z]{3}$", "deleted_at": _DATE} | {
+    "sex": _codes(R.CODELISTS["sex"]), "race": _codes(R.CODELISTS["race"]), "ethnic": _codes(R.CODELISTS["ethnicity"]),
+    **dict.fromkeys(("armcd", "actarmcd"), "^[A-Z][A-Z0-9]{0,7}$"), **dict.fromkeys(("arm", "actarm"), r"^(Placebo|[A-Z][a-z]+ \d+ mg)$"), **dict.fromkeys(("rfstdtc", "rfendtc"), _DATE),
+}
+#: What a filled value of each coded, date and key column looks like; free text (aeterm) and measures (age) have none.
+PATTERNS = {
+    "dm": _SUBJECT,
+    "adsl": _SUBJECT | {
+        **dict.fromkeys(("saffl", "ittfl", "pprotfl", "efffl", "compltfl", "disconfl"), "^[YN]$"), **dict.fromkeys(("trtsdt", "trtedt"), _DATE), **dict.fromkeys(("trt01p", "trt01a"), _SUBJECT["arm"]),
+        **dict.fromkeys(("trt01pn", "trt01an", "agegr1n", "racegr1n"), r"^\d$"), "agegr1": "^(<65|>=65)$", "racegr1": "^(WHITE|NON-WHITE)$", "dctreasn": "^[A-Z][A-Z -]*$",
+    },
+    "ae": _KEYS | {
+        "domain": "^AE$", "aeseq": r"^\d+$", "aespid": r"^E\d+$", "aedecod": r"^[A-Z][A-Z0-9 ,()'/-]*$", "aebodsys": "^[A-Z][A-Z ,()'/-]*$", "aestdtc": _DATE, "aeendtc": _DATE,
+        **{c: _codes(R.CODELISTS[c]) for c in ("aesev", "aeser", "aerel", "aeout")},
+    },
+}
 REFERENCES = (("adae", "adsl"), ("ex", "adsl"), ("adsl", "dm"))
 
 
@@ -67,8 +93,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_profile(spark: SparkSession, d: str) -> DataFrame:
-    patterns = {"dm": {"country": "^[A-Z]{3}$"}, "adsl": {"saffl": "^[YN]$"}, "ae": {"aesev": "^(MILD|MODERATE|SEVERE)$"}}
-    return _union(profile.profile(table(spark, d, t), t, p) for t, p in patterns.items())
+    """Every column of the loads; every coded, date and key column has a pattern."""
+    return _union(profile.profile(table(spark, d, t), t, p) for t, p in PATTERNS.items())
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
