@@ -93,3 +93,18 @@ def test_profile_sums_of_integers_are_exact(spark):
 
     df = spark.createDataFrame([(0, 10**15 + 1), (0, 10**15 + 2), (0, 10**15 + 3), (1, 2**62), (1, 2**62)], "load_no int, n long")
     assert [r.sd for r in profile.profile(df, "t").orderBy("load_no").collect()] == [1.0, 0.0]
+
+
+def test_vector_search_of_every_query(spark):
+    import math
+
+    vec = dict(duckdb.sql(f"select vec_id, embedding::double[] from '{D}/embeddings.parquet'").fetchall())
+    got = {}
+    for r in entry.queries()["graph_similar_all"](spark, D).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    want = {i for i in vec if i % 100 == 0}
+    assert set(got) == want and len(want) > 1
+    for i in want:
+        score = {j: math.sumprod(vec[i], v) / math.hypot(*vec[i]) / math.hypot(*v) for j, v in vec.items()}
+        best = sorted((j for j in score if score[j] >= 0.1), key=lambda j: (-score[j], j))[:10]
+        assert [j for _, j in sorted(got[i])] == best

@@ -93,14 +93,28 @@ def schedule(items: DataFrame, budget: int, share: float = 0.25, least: int = 10
     return g.select("grp", F.inline(F.aggregate("q", zero, put, lambda s: s["out"])))
 
 
+def _dot(a, b):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
+
+
 def similar(items: DataFrame, query: Sequence[float], vector: str, id_col: str, k: int, least: float) -> DataFrame:
     """The k items of highest cosine similarity to a query vector (a top-k report), at least `least`."""
     q = F.array(*[F.lit(float(x)) for x in query])
 
-    def dot(a, b):
-        return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-
     v = F.col(vector)
-    cos = F.try_divide(dot(v, q), F.sqrt(dot(v, v)) * F.sqrt(dot(q, q)))
+    cos = F.try_divide(_dot(v, q), F.sqrt(_dot(v, v)) * F.sqrt(_dot(q, q)))
     ranked = items.select(id_col, cos.alias("score")).where(F.col("score") >= least)
     return ranked.orderBy(F.desc("score"), id_col).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
+
+
+def similar_each(items: DataFrame, queries: DataFrame, vector: str, id_col: str, k: int, least: float) -> DataFrame:
+    """(query_id, id, rank, score): for every row of queries the k items of highest cosine similarity, at least `least`.
+
+    Every query meets every item; each task keeps its k best of a query before anything is shuffled.
+    """
+    v = F.col(vector)
+    a = items.select(id_col, v.cast("array<double>").alias("__a"), F.sqrt(_dot(v, v)).alias("__n"))
+    b = queries.select(F.col(id_col).alias("query_id"), v.cast("array<double>").alias("__b"), F.sqrt(_dot(v, v)).alias("__m"))
+    scored = a.crossJoin(b).select("query_id", id_col, F.try_divide(_dot(F.col("__a"), F.col("__b")), F.col("__n") * F.col("__m")).alias("score")).where(F.col("score") >= least)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

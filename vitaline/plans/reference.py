@@ -12,7 +12,7 @@ from vitaline import registry as R
 from vitaline.functions import cols as C
 from vitaline.operators import adam, checks, graph, sdtm, text, tfl
 from vitaline.plans import fixtures as X
-from vitaline.session import table
+from vitaline.session import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -667,6 +667,14 @@ def graph_similar(spark: SparkSession, d: str) -> DataFrame:
     return graph.similar(e, q[0] if q else [0.0], "embedding", "vec_id", 10, 0.1).select("vec_id", "rank", _r("score", 5))
 
 
+@query("""SELECT query_id, vec_id, rank, round(score, 5) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
+  (SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0) WHERE score >= 0.1) WHERE rank <= 10""")
+def graph_similar_all(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors to every hundredth one; graph_similar is the report of the first."""
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return graph.similar_each(spread(e), e.where("vec_id % 100 = 0"), "embedding", "vec_id", 10, 0.1).select("query_id", "vec_id", "rank", _r("score", 5))
+
+
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
