@@ -108,3 +108,17 @@ def test_vector_search_of_every_query(spark):
         score = {j: math.sumprod(vec[i], v) / math.hypot(*vec[i]) / math.hypot(*v) for j, v in vec.items()}
         best = sorted((j for j in score if score[j] >= 0.1), key=lambda j: (-score[j], j))[:10]
         assert [j for _, j in sorted(got[i])] == best
+
+
+def test_transport_file_refuses_what_it_would_cut(spark, tmp_path):
+    import pytest
+
+    from vitaline.sources import xport
+
+    path = str(tmp_path / "a.xpt")
+    df = spark.createDataFrame([("é" * 100, 1.0), (None, 2.0)], "t string, n double")
+    xport.write(df, path)
+    assert [r[0] for r in xport.read(spark, path).collect()] == ["é" * 100, None]
+    with pytest.raises(ValueError, match="t has 201"):
+        xport.write(spark.createDataFrame([("é" * 100 + "x", 1.0)], "t string, n double"), str(tmp_path / "b.xpt"))
+    assert not (tmp_path / "b.xpt").exists()

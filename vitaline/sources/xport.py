@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # fixed values of the format: the header records, each 80 bytes
@@ -92,12 +93,19 @@ def _encode(rows: Iterable, variables: Sequence[Variable]) -> Iterable[bytes]:
     for r in rows:
         parts = []
         for v, x in zip(variables, r, strict=True):
-            parts.append(to_ibm(None if x is None else float(x))[: v.length] if v.numeric else ("" if x is None else str(x)).encode("utf-8")[: v.length].ljust(v.length))
+            if v.numeric:
+                parts.append(to_ibm(None if x is None else float(x))[: v.length])
+                continue
+            b = ("" if x is None else str(x)).rstrip(" ").encode("utf-8")
+            if len(b) > v.length:
+                raise ValueError(f"{v.name}: a text of {len(b)} bytes, {v.length} can be written")
+            parts.append(b.ljust(v.length))
         yield b"".join(parts)
 
 
 def write(df: DataFrame, path: str, name: str | None = None, char_length: int = 200) -> None:
-    """One transport file; names longer than 8 or types other than numbers and text raise before anything is written."""
+    """One transport file; names longer than 8, types other than numbers and text, and texts of more than char_length
+    bytes of UTF-8 (version 5 has at most 200) raise before anything is written. Blanks at the end are not kept."""
     variables, at = [], 0
     for f in df.schema:
         numeric = isinstance(f.dataType, T.NumericType)
@@ -106,6 +114,11 @@ def write(df: DataFrame, path: str, name: str | None = None, char_length: int =
         length = 8 if numeric else char_length
         variables.append(Variable(f.name, numeric, length, (f.metadata or {}).get("label", ""), at))
         at += length
+    texts = [v.name for v in variables if not v.numeric]
+    if texts:
+        longest = df.agg(*[F.max(F.octet_length(F.rtrim(F.col(f"`{c}`").cast("string")))) for c in texts]).head()
+        if over := [f"{c} has {n}" for c, n in zip(texts, longest, strict=True) if (n or 0) > char_length]:
+            raise ValueError(f"texts of at most {char_length} bytes can be written: {', '.join(over)}")
     rows = df.rdd.mapPartitions(lambda it: [b"".join(_encode(it, variables))])
     total = 0
     with open(path, "wb") as f:
