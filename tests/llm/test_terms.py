@@ -52,3 +52,9 @@ def test_field_context_and_empty(spark):
     assert codes(spark, [("sex", 1, "1"), ("sex", 2, "m"), ("sex", 3, "headache"), ("other", 4, "m"), (None, 5, "m")]) == [("other", 4, -1), ("sex", 1, 1), ("sex", 2, 1), ("sex", 3, -1)]
     assert codes(spark, []) == []
     assert codes(spark, [("ae", 1, "Headache")], []) == [("ae", 1, -1)]
+
+
+def test_runs_of_any_number_of_tokens(spark):
+    entries = [("ae", 1, "Constipation", None), ("ae", 2, "Redness at injection site", None), ("ae", 3, "Neck pain", None)]
+    values = ["c o n s t i p a t i o n", "c o n s t i p a t i o n at night", "redness at injec tion site NOS", "red ness at injec tion site NOS", "neckpain after dosing", "a " * 3000 + "neck pain", "no pain"]
+    assert [c for _, _, c in codes(spark, [("ae", i, v) for i, v in enumerate(values)], entries)] == [1, 1, 2, 2, 3, 3, -1]

@@ -1,7 +1,8 @@
 """Problem 4: freely typed values mapped to a canonical list by token-level repair and soft TF-IDF.
 
-Every distinct value is split into tokens and into joined runs of two to four neighbours (typing errors that move a
-space). Every distinct token is joined to the reference vocabulary by edit distance: the vocabulary's deletion
+Every distinct value is split into tokens and into joined runs of neighbours, of any number of tokens as long as the
+run isn't longer than the longest joined entry (typing errors that move or add a space; a run of one token is two words
+written as one). Every distinct token is joined to the reference vocabulary by edit distance: the vocabulary's deletion
 neighbourhood is an index, so a token meets only words that share a deletion with it and each of those is verified.
 The corrected tokens are then combined per value: an entry (term or alias) is complete when all its words are
 present, and complete entries are ranked by the soft TF-IDF product of value and entry. A value with no complete
@@ -27,7 +28,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES = 100_000
-RUN = 4
 
 
 def normal(c: Column) -> Column:
@@ -146,16 +146,19 @@ def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
 
     tokens = F.split("norm", " ")
     n = F.size("t")
+    longest = max((len(w) for ws in joined.values() for w in ws), default=0)
+    # a token has at least one letter, so a run that can match has at most this many
     runs = F.filter(
-        F.flatten(F.transform(F.sequence(F.lit(2), F.lit(RUN)), lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.when((i + k - 1 <= n) & (k < n), F.array_join(F.slice("t", i, k), ""))))),
-        lambda s: s.isNotNull(),
+        F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(n - i + 1, F.lit(longest + CAPS["i"]))), lambda k: F.when(k < n, F.array_join(F.slice("t", i, k), ""))))),
+        lambda s: F.length(s) <= longest + CAPS["i"],
     )
+    whole = F.array_join("t", "")
     grams = values.withColumn("t", tokens).select(
         "field", "norm",
         F.explode(F.concat(
             F.transform(F.array_distinct("t"), lambda w: F.struct(F.lit("w").alias("kind"), w.alias("gram"))),
             F.transform(F.array_distinct(runs), lambda w: F.struct(F.lit("i").alias("kind"), w.alias("gram"))),
-            F.when(n <= 2 * RUN, F.array(F.struct(F.lit("j").alias("kind"), F.array_join("t", "").alias("gram")))).otherwise(F.array().cast("array<struct<kind:string,gram:string>>")),
+            F.when(F.length(whole) <= longest + CAPS["j"], F.array(F.struct(F.lit("j").alias("kind"), whole.alias("gram")))).otherwise(F.array().cast("array<struct<kind:string,gram:string>>")),
         )).alias("g"),
     ).select("field", "norm", "g.kind", "g.gram")
 
