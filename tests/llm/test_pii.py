@@ -3,7 +3,7 @@ import itertools
 import numpy as np
 import pytest
 
-from vitaline.llm import crf, pii
+from vitaline.llm import crf, pii, pii_labels, pii_train
 
 TEXT = (
     "Dr. Zoltana Falombe-Ostertz asked for kit 123456. Contact: Ulmlisse, Meilin, +1 415 555 0199, meilin.x (at) uk-osten.example. "
@@ -74,10 +74,61 @@ def test_chain_inference_against_enumeration():
 
 def test_skip_edges_bring_repeated_words_together():
     trans = crf.allowed_transitions().astype(float)
-    node = np.full((5, crf.N_LABELS), -9.0)
+    node = np.full((12, crf.N_LABELS), -9.0)
     node[:, 0] = 0.0
     name = crf.LABELS.index("B-name")
-    node[0, name], node[4, name] = 6.0, -0.4  # the second mention alone would stay outside
-    doc, word = np.zeros(5, dtype=int), np.array([1, -1, -1, -1, 1])
-    assert crf.decode(node, trans, doc, word, 0.0).tolist() == [name, 0, 0, 0, 0]
-    assert crf.decode(node, trans, doc, word, 1.0).tolist() == [name, 0, 0, 0, name]
+    node[0, name], node[4, name], node[8, name], node[10, name] = 6.0, -0.9, -9.0, -0.9
+    doc, word = np.zeros(12, dtype=int), np.array([1, -1, -1, -1, 1, -1, -1, -1, 1, -1, 2, -1])
+    alone, linked = np.zeros(6), np.array([0.25, 0, 0, 0, 0, 1.5])
+    assert np.flatnonzero(crf.decode(node, trans, doc, word, alone)).tolist() == [0]
+    # the second mention follows the first; one whose own score is far outside stays, and so does another word
+    assert np.flatnonzero(crf.decode(node, trans, doc, word, linked)).tolist() == [0, 4]
+    # however far outside, every mention of a linked word is looked at
+    assert np.flatnonzero(crf.decode(node, trans, doc, word, linked * 10)).tolist() == [0, 4, 8]
+
+
+def test_edges_reach_every_mention_in_one_step():
+    gain = np.array([-1.0, -2.0, 5.0, -3.0, -1.0, 0.0])
+    left, right = crf.skip_edges(gain, np.array([0, 0, 0, 0, 0, 1]), np.array([7, 7, 7, 7, 7, 7]))
+    assert {frozenset(e) for e in zip(left.tolist(), right.tolist(), strict=True)} == {frozenset(e) for e in ((0, 1), (1, 2), (2, 3), (3, 4), (2, 0), (2, 4))}
+
+
+def test_similar_words_are_linked():
+    assert pii.link_key("OKONKWO") == pii.link_key("Okonkwo") == pii.link_key("Okonkwos")
+    assert pii.link_key("Müller") == pii.link_key("MULLER")
+    assert pii.link_key("okonkwo") is pii.link_key("Al") is pii.link_key("A1b") is None
+
+
+def test_second_mention_needs_the_skip_chain(tagger):
+    text = "Dr. Jane Okonkwo signed the page on 2021-05-04. Okonkwo confirmed the event."
+    alone = pii.Tagger(pii.load_model() | {"skip": {"O": 0.0, "name": 0.0}})
+    assert [text[a:b] for _, a, b in tagger.tag([text])[0]] == ["Jane Okonkwo", "Okonkwo"]
+    assert [text[a:b] for _, a, b in alone.tag([text])[0]] == ["Jane Okonkwo"]
+
+
+def test_eponyms_do_not_hide_a_person(tagger):
+    text = "Dr Jane Okonkwo signed the page. The Okonkwo score was 12."
+    assert [text[a:b] for _, a, b in tagger.tag([text])[0]] == ["Jane Okonkwo"]
+
+
+def test_blocks_and_neighbours_change_nothing(tagger):
+    texts = [TEXT, "", None, "A\x00B " + TEXT, "Signed: Keiko Halvanne", "Halvanne", TEXT.replace("Ostertz", "Ôstertz")] * 3
+    one_by_one = [tagger.tag([t])[0] for t in texts]
+    assert tagger.tag(texts) == one_by_one
+    small = pii.Tagger(pii.load_model())
+    assert [small.tag([t])[0] for t in texts] == one_by_one
+
+
+def test_rules_harvest_names_without_lists():
+    texts = ["Dr. Jane Okonkwo called. Mr. Okonkwo agreed.", "Mrs. Jane Bellweather and Okonkwo, Jane signed.", "Prof. Adebayo Bellweather left; The Okonkwo index was 3.", "Dr. Adebayo Okonkwo and OKONKWO Jane came."]
+    lex = pii_labels.harvest(texts)
+    assert lex.given == {"Jane", "Adebayo"} and lex.family == {"Okonkwo", "Bellweather"}
+    found = [[(k, t[a:b]) for k, a, b in pii_labels.label(t, lex)] for t in texts]
+    assert found[0] == [("name", "Jane Okonkwo"), ("name", "Okonkwo")] and found[2] == [("name", "Adebayo Bellweather")] and found[3][1] == ("name", "OKONKWO Jane")
+    got = pii_labels.label("Call +44 20 7000 1234, lot 123 456 789. SSN: 123-45-6789; 12 High Street, Oldtown AB1 2CD", lex)
+    assert [k for k, _, _ in got] == ["phone", "id_no", "address"]
+
+
+def test_replacements_keep_passages_in_place():
+    text, found = pii_train.replaced("The monitor met Jane Roe at 5.", [("name", 16, 24)], [(0, 11, "Roe", True), (16, 20, "Bamira", False)])
+    assert text == "Roe met Bamira Roe at 5." and [text[a:b] for _, a, b in found] == ["Roe", "Bamira Roe"]

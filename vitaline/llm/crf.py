@@ -1,10 +1,13 @@
 """Skip-chain conditional random field over tokens, batched in numpy.
 
-Node scores are sums of feature weights; neighbours share a transition matrix; consecutive occurrences of the same
-capitalised word in a document share a potential that rewards labels of one kind. Inference is loopy: chains are
-solved by forward-backward, the skip edges pass messages between them, and after a fixed number of rounds the best
-labelling of every chain is taken with the messages as node scores. Tokens whose node score favours "outside" by
-more than a margin split the chains, so the work follows the candidates, not the text.
+Node scores are sums of feature weights; neighbours share a transition matrix. Mentions of one word in a document
+(equal or similar: whatever their case, accents and genitive s, and however far apart) share potentials that reward
+labels of one kind, with a learned weight per kind. A skip edge exists where the own score of one of the mentions
+favours a name; every mention is linked to the one before it and to the best-scored one, so evidence reaches each of
+them in one step. Inference is loopy: chains are solved by forward-backward, the skip edges pass messages between
+them until these settle, and the best labelling of every chain is taken with the messages as node scores. Tokens whose
+node score favours "outside" by more than a margin split the chains, so the work follows the candidates, not the
+text; mentions of a linked word are never split off, whatever their score.
 """
 
 from __future__ import annotations
@@ -18,7 +21,10 @@ N_LABELS = len(LABELS)
 KIND_OF = np.array([0, *(i + 1 for i in range(len(KINDS)) for _ in "BI")])
 FORBIDDEN = -1e4
 MARGIN = 5.0
-ROUNDS = 3
+ROUNDS = 10
+SETTLED = 1e-3
+#: labels of a name
+NAME = [1 + 2 * KINDS.index("name"), 2 + 2 * KINDS.index("name")]
 
 
 def allowed_transitions() -> np.ndarray:
@@ -102,74 +108,134 @@ def candidates(node: np.ndarray, trans: np.ndarray, chain: np.ndarray, margin: f
     run = np.cumsum(edge) - 1
     holds = np.zeros(run[-1] + 1, dtype=bool)
     holds[run[begin]] = True
-    inside = maybe & holds[run]
+    return _with_neighbours(maybe & holds[run], chain)
+
+
+def _with_neighbours(inside: np.ndarray, chain: np.ndarray) -> np.ndarray:
     near = inside.copy()
     near[1:] |= inside[:-1] & (chain[1:] == chain[:-1])
     near[:-1] |= inside[1:] & (chain[1:] == chain[:-1])
     return near
 
 
-def decode(node: np.ndarray, trans: np.ndarray, chain: np.ndarray, word: np.ndarray, skip: float, must: np.ndarray | None = None, margin: float = MARGIN, rounds: int = ROUNDS) -> np.ndarray:
+def mentions(node: np.ndarray, chain: np.ndarray, word: np.ndarray, near: np.ndarray) -> np.ndarray:
+    """Tokens whose word occurs in their document at least twice, once of them where the own score favours a name."""
+    able = np.flatnonzero(word >= 0)
+    if not len(able):
+        return able
+    key = chain[able].astype(np.int64) * (int(word.max()) + 1) + word[able]
+    own = near[able] & (node[able][:, NAME].max(1) > node[able, 0])
+    if not own.any():
+        return able[:0]
+    values, counts = np.unique(key, return_counts=True)
+    return able[np.isin(key, np.intersect1d(key[own], values[counts > 1]))]
+
+
+def skip_edges(gain: np.ndarray, chain: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the skip edges between mentions (their gain, document and word): each to the one before it and to the best one."""
+    order = np.lexsort((np.arange(len(word)), word, chain))
+    same = (word[order[1:]] == word[order[:-1]]) & (chain[order[1:]] == chain[order[:-1]])
+    group = np.concatenate([[0], np.cumsum(~same)])
+    rank = np.lexsort((-gain[order], group))  # per group the best first
+    first = np.concatenate([[True], group[rank][1:] != group[rank][:-1]])
+    best_at = rank[first]
+    hub = best_at[group]
+    at = np.arange(len(order))
+    far = np.abs(at - hub) > 1
+    return np.concatenate([order[:-1][same], order[hub[far]]]), np.concatenate([order[1:][same], order[far]])
+
+
+class Chains:
+    """Runs of active tokens, solved in groups of similar length."""
+
+    def __init__(self, at: np.ndarray, chain: np.ndarray, trans: np.ndarray):
+        first = np.ones(len(at), dtype=bool)
+        first[1:] = (np.diff(at) > 1) | (chain[at[1:]] != chain[at[:-1]])
+        self.trans, self.starts = trans, np.flatnonzero(first)
+        self.lengths = np.diff(np.append(self.starts, len(at)))
+        self.groups = list(_groups(self.lengths))
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Which chains hold some of these tokens."""
+        out = np.zeros(len(self.starts), dtype=bool)
+        out[np.searchsorted(self.starts, tokens, side="right") - 1] = True
+        return out
+
+    def _padded(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        size = self.lengths[group]
+        steps = np.arange(size.max())[None]
+        return self.starts[group][:, None] + np.minimum(steps, size[:, None] - 1), size, steps < size[:, None]
+
+    def beliefs(self, scores: np.ndarray, only: np.ndarray) -> np.ndarray:
+        """Log marginals of the labels of every token; 0 in chains that aren't asked for."""
+        out = np.zeros_like(scores)
+        for g in self.groups:
+            g = g[only[g]]
+            if len(g):
+                where, size, real = self._padded(g)
+                f, b, z = marginals(scores[where], self.trans, size)
+                out[where[real]] = (f + b - z[:, None, None])[real]
+        return out
+
+    def best(self, scores: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(scores), dtype=np.int8)
+        for g in self.groups:
+            where, size, real = self._padded(g)
+            out[where[real]] = best(scores[where], self.trans, size)[real]
+        return out
+
+
+def active(node: np.ndarray, trans: np.ndarray, chain: np.ndarray, word: np.ndarray, must: np.ndarray | None, margin: float, linking: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(active tokens, linked mentions, left and right ends of the skip edges); all but the first as places among the active."""
+    near = candidates(node, trans, chain, margin, must)
+    none = np.zeros(0, dtype=np.int64)
+    linked = mentions(node, chain, word, near) if linking else none
+    if len(linked):
+        more = np.zeros(len(node), dtype=bool)
+        more[linked] = True
+        near |= _with_neighbours(more, chain)
+    at = np.flatnonzero(near)
+    if not len(linked):
+        return at, none, none, none
+    left, right = skip_edges(node[linked][:, NAME].max(1) - node[linked, 0], chain[linked], word[linked])
+    place = np.searchsorted(at, linked)
+    return at, place, place[left], place[right]
+
+
+def decode(node: np.ndarray, trans: np.ndarray, chain: np.ndarray, word: np.ndarray, skip: np.ndarray, must: np.ndarray | None = None, margin: float = MARGIN, rounds: int = ROUNDS) -> np.ndarray:
     """Labels of tokens with node scores node[token, label].
 
     chain: document number of each token (ascending); word: number of a linkable word, -1 where a token takes no
-    skip edge; must: tokens that are looked at whatever their score. Consecutive occurrences of a word in a document
-    are linked.
+    skip edge; skip: weight of equal kinds at both ends of a skip edge, per kind from 0 for outside; must: tokens that
+    are looked at whatever their score.
     """
     labels = np.zeros(len(node), dtype=np.int8)
     if not len(node):
         return labels
-    near = candidates(node, trans, chain, margin, must)
-    at = np.flatnonzero(near)
+    at, _, left, right = active(node, trans, chain, word, must, margin, bool(np.any(skip)))
     if not len(at):
         return labels
-    first = np.ones(len(at), dtype=bool)
-    first[1:] = (np.diff(at) > 1) | (chain[at[1:]] != chain[at[:-1]])
-    starts = np.flatnonzero(first)
-    lengths = np.diff(np.append(starts, len(at)))
-    # skip edges between active tokens
-    own = word[at]
-    order = np.lexsort((np.arange(len(at)), own, chain[at]))
-    same = (own[order[1:]] == own[order[:-1]]) & (chain[at[order[1:]]] == chain[at[order[:-1]]]) & (own[order[1:]] >= 0)
-    left, right = order[:-1][same], order[1:][same]
-    src, dst = np.concatenate([left, right]), np.concatenate([right, left])
+    chains = Chains(at, chain, trans)
     scores = node[at].astype(np.float64)
-    groups = list(_groups(lengths))
-
-    def padded(group: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        size = lengths[group]
-        where = starts[group][:, None] + np.minimum(np.arange(size.max())[None], size[:, None] - 1)
-        return values[where], where, size
-
     total = np.zeros_like(scores)
-    if len(src) and skip > 0:
+    if len(left):
+        src, dst = np.concatenate([left, right]), np.concatenate([right, left])
         half = len(left)
         reverse = np.concatenate([np.arange(half) + half, np.arange(half)])
         message = np.zeros((len(src), N_LABELS))
-        agree = np.where(KIND_OF[:, None] == KIND_OF[None, :], skip, 0.0)
-        linked = np.zeros(len(starts), dtype=bool)
-        linked[np.searchsorted(starts, src, side="right") - 1] = True
+        agree = np.where(KIND_OF[:, None] == KIND_OF[None, :], np.asarray(skip, dtype=float)[KIND_OF][:, None], 0.0)
+        linked = chains.of(src)
         for _ in range(rounds):
-            belief = np.zeros_like(scores)
-            for g in groups:
-                g = g[linked[g]]
-                if not len(g):
-                    continue
-                x, where, size = padded(g, scores + total)
-                f, b, z = marginals(x, trans, size)
-                post = f + b - z[:, None, None]
-                real = np.arange(x.shape[1])[None] < size[:, None]
-                belief[where[real]] = post[real]
-            cavity = belief[src] - message[reverse]
-            message = _lse(cavity[:, :, None] + agree[None], 1)
-            message -= message.max(1, keepdims=True)
+            cavity = chains.beliefs(scores + total, linked)[src] - message[reverse]
+            new = _lse(cavity[:, :, None] + agree[None], 1)
+            new -= new.max(1, keepdims=True)
+            moved = np.abs(new - message).max()
+            message = new
             total = np.zeros_like(scores)
             np.add.at(total, dst, message)
-    for g in groups:
-        x, where, size = padded(g, scores + total)
-        y = best(x, trans, size)
-        real = np.arange(x.shape[1])[None] < size[:, None]
-        labels[at[where[real]]] = y[real]
+            if moved < SETTLED:
+                break
+    labels[at] = chains.best(scores + total)
     return labels
 
 

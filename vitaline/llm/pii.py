@@ -1,7 +1,7 @@
 """Problem 9: personal information in free text, found by a skip-chain conditional random field.
 
-Texts are cut into words, digit runs and signs. A token's node score sums weights of its form (word, shape, first
-and last letters), of its neighbours within three tokens, and of generic candidate patterns it lies in. The model
+Texts are cut into words, digit runs and signs. A token's node score sums weights of its form (word, shape, last
+letters), of its neighbours within three tokens, and of generic candidate patterns it lies in. The model
 file is trained by pii_train and read by the driver; executors get it by broadcast (about a megabyte, fixed). One
 narrow stage tags whole texts in Arrow batches; nothing is shuffled, and a text's result depends on that text alone.
 An exact check follows the tagger: passages must have the minimum of their kind (digits of a phone number, an at
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import json
 import re
-from bisect import bisect_left
+import unicodedata
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -28,30 +28,41 @@ from vitaline.llm import crf
 
 MODEL = Path(__file__).with_name("pii_model.json")
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
+#: tokens with the white space before them: they cover a whole text, so their lengths give their places
+COVER = re.compile(r"\s*(?:[^\W\d_]+|\d+|[^\w\s]|_)")
 OFFSETS = (-3, -2, -1, 1, 2, 3)
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_no": "[ID_NO]", "address": "[ADDRESS]", "name": "[NAME]"}
 MEMO = 300_000
-CHUNK = 250_000
+CHUNK = 1_500_000
+EDGE = "\x00"
 
 _STREETS = r"(?:Street|St|Road|Lane|Close|Drive|Gardens|Court|Avenue|Ave|Rd|Blvd|Boulevard|Way|Terrace|Crescent|Place|Square|Row|Hill)"
 _UNIT = r"(?:,? (?:Suite|Apt|Flat|Unit|Floor)\.? \w+)?"
-#: Generic candidate patterns, as features only: what they cover is decided by the model.
+_TAIL = r"(?:(?:, |\n)(?:\d{5} )?[A-ZÄÖÜÉ][\w'-]+(?: [A-Z][\w'-]+)?,? ?(?:[A-Z]{2} ?\d{5}|[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2,3})?)?"
+#: Generic candidate patterns, as features only: what they cover is decided by the model. Each begins with a set of
+#: characters and looks back from there, so a scan skips everything else.
 CANDIDATES = {
-    "E": None,
-    "A": re.compile(
-        rf"(?<![\w.@-])(?:\d{{1,5}}[a-z]? (?:[NSEW]\. )?(?:[A-Z][\w'-]+ ){{1,3}}{_STREETS}\b{_UNIT}"
-        r"|\d{1,4}(?: bis| ter)?,? (?:avenue|rue|quai|impasse|chemin|allée|place|boulevard|cours|square) (?:[dD][eu]s? (?:la )?|l'|d')?[\w'-]+(?: [A-Z][\w'-]+)*"
-        r"|(?:C/|Calle|Avenida|Avda\.|Plaza|Paseo|Ronda|Camino) ?(?:de (?:la |los |las )?|del )?[A-ZÁÉÍÓÚÑ]\w+(?: [A-ZÁÉÍÓÚÑ]\w+)*,?(?: n\.º)? \d{1,4}"
-        r"|(?:(?:Am|An|Im|Zum|Zur) (?:[A-ZÄÖÜ]\w+ )*[A-ZÄÖÜ]\w+|(?:[A-ZÄÖÜ]\w+er )?(?:Weg|Straße|Platz|Allee|Gasse|Ring)|[A-ZÄÖÜ][a-zäöüß]+(?:straße|str\.|gasse|allee|weg|platz|ring)) \d{1,4} ?[a-z]?\b)"
-        r"(?:(?:, |\n)(?:\d{5} )?[A-ZÄÖÜÉ][\w'-]+(?: [A-Z][\w'-]+)?,? ?(?:[A-Z]{2} ?\d{5}|[A-Z]{1,2}\d[\dA-Z]? \d[A-Z]{2,3})?)?"
+    "E": (),
+    "A": (
+        re.compile(
+            rf"\d(?<![\w.@-].)(?:\d{{0,4}}[a-z]? (?:[NSEW]\. )?(?:[A-Z][\w'-]+ ){{1,3}}{_STREETS}\b{_UNIT}"
+            rf"|\d{{0,3}}(?: bis| ter)?,? (?:avenue|rue|quai|impasse|chemin|allée|place|boulevard|cours|square) (?:[dD][eu]s? (?:la )?|l'|d')?[\w'-]+(?: [A-Z][\w'-]+)*){_TAIL}"
+        ),
+        re.compile(rf"[CAPR](?<![\w.@-].)(?:(?<=C)(?:/|alle|amino)|(?<=A)(?:venida|vda\.)|(?<=P)(?:laza|aseo)|(?<=R)onda) ?(?:de (?:la |los |las )?|del )?[A-ZÁÉÍÓÚÑ]\w+(?: [A-ZÁÉÍÓÚÑ]\w+)*,?(?: n\.º)? \d{{1,4}}{_TAIL}"),
+        re.compile(
+            r"[A-ZÄÖÜ](?<![\w.@-].)(?:(?:(?<=A)[mn]|(?<=I)m|(?<=Z)u[mr]) (?:[A-ZÄÖÜ]\w+ )*[A-ZÄÖÜ]\w+|\w+er (?:Weg|Straße|Platz|Allee|Gasse|Ring)"
+            rf"|[a-zäöüß]+(?:straße|str\.|gasse|allee|weg|platz|ring)) \d{{1,4}} ?[a-z]?\b{_TAIL}"
+        ),
     ),
-    "P": re.compile(
-        r"(?<![\w.+:/-])(?:(?:\+|00)\d{1,3}[ .-]?(?:\(\d\) ?)?\d(?:[ ./-]?\d){5,12}|\(\d{2,5}\)[ .-]?\d(?:[ .-]?\d){5,10}"
-        r"|0\d{1,4}[ ./-]\d(?:[ .-]?\d){4,10}|(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{3,4})(?![\w-]|[.:]\d)"
+    "P": (
+        re.compile(
+            r"[+(\d](?<![\w.+:/-].)(?:(?:(?<=\+)|(?<=0)0)\d{1,3}[ .-]?(?:\(\d\) ?)?\d(?:[ ./-]?\d){5,12}|(?<=\()\d{2,5}\)[ .-]?\d(?:[ .-]?\d){5,10}"
+            r"|(?<=0)\d{1,4}[ ./-]\d(?:[ .-]?\d){4,10}|(?:(?<=1)[ .-]\d{3}|(?<=\d)\d\d)[ .-]\d{3}[ .-]\d{3,4})(?![\w-]|[.:]\d)"
+        ),
     ),
 }
 FLAGS = ["", *(f"{k}{p}" for k in CANDIDATES for p in "BI")]
-_AT = re.compile(r"@| ?[\(\[\{] ?(?:at|AT|@) ?[\)\]\}] ?")
+_AT = re.compile(r"[@(\[{](?:(?<=@)| ?(?:at|AT|@) ?[)\]}] ?)")
 _HOST = re.compile(r"[\w-]+(?:(?:\.| ?[\(\[\{] ?(?:dot|DOT) ?[\)\]\}] ?)[\w-]+)+")
 
 
@@ -59,10 +70,12 @@ def mail_spans(text: str) -> list[tuple[int, int]]:
     """Candidate mail addresses, grown to both sides of an at sign or its written form."""
     out = []
     for m in _AT.finditer(text):
-        a = m.start()
+        a = low = m.start()
+        if text[a] != "@" and text[a - 1 : a] == " ":
+            a = low = a - 1
         while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "._+-"):
             a -= 1
-        if a < m.start() and (host := _HOST.match(text, m.end())):
+        if a < low and (host := _HOST.match(text, m.end())):
             out.append((a, host.end()))
     return out
 
@@ -83,7 +96,7 @@ def own_features(t: str) -> list[str]:
     shape = "x" if t == low else ("X" if len(t) == 1 else "XX") if t == t.upper() else "Xx" if t[0].isupper() else "xX"
     out = ["b", f"w={low}", f"s={shape}"]
     if len(t) >= 4:
-        out += [f"p3={low[:3]}", f"p4={low[:4]}", f"e3={low[-3:]}", f"e4={low[-4:]}", f"c={shape}|{low[-3:]}"]
+        out += [f"e3={low[-3:]}", f"c={shape}|{low[-3:]}"]
     return out
 
 
@@ -91,7 +104,7 @@ def context_features(t: str, offset: int) -> list[str]:
     own = own_features(t)
     out = [f"{offset}{own[1]}"]
     if abs(offset) <= 2:
-        out += [f"{offset}{own[2]}", *[f"{offset}{f}" for f in own[3:] if f[:2] in ("e3", "p3")]]
+        out += [f"{offset}{f}" for f in own[2:4]]
     return out
 
 
@@ -100,29 +113,53 @@ def flag_features(flag: str, before: str, after: str, fresh: bool) -> list[str]:
     return [*out, "nl"] if fresh else out
 
 
-def candidate_flags(text: str, starts: list[int], ends: list[int]) -> list[int]:
+def link_key(t: str) -> str | None:
+    """What equal and similar words share: letters without case, accents and a final s; None where a word takes no links."""
+    if len(t) < 3 or not t.isalpha() or not t[0].isupper():
+        return None
+    plain = "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
+    return plain[:-1] if len(plain) > 4 and plain[-1] == "s" else plain
+
+
+def candidate_flags(text: str, starts: np.ndarray) -> np.ndarray:
     """Index into FLAGS for every token."""
-    flags = [0] * len(starts)
-    for k, pattern in enumerate(CANDIDATES):
-        found = mail_spans(text) if pattern == "E" else [m.span() for m in CANDIDATES[pattern].finditer(text)]
-        for first, last in found:
-            a, b = bisect_left(starts, first), bisect_left(starts, last)
-            if a < b and not any(flags[a:b]):
+    flags = np.zeros(len(starts), dtype=np.int64)
+    for k, (kind, patterns) in enumerate(CANDIDATES.items()):
+        found = mail_spans(text) if kind == "E" else [m.span() for p in patterns for m in p.finditer(text)]
+        if not found:
+            continue
+        for a, b in np.searchsorted(starts, np.array(found)).tolist():
+            if a < b and not flags[a:b].any():
+                flags[a:b] = 2 + 2 * k
                 flags[a] = 1 + 2 * k
-                for i in range(a + 1, b):
-                    flags[i] = 2 + 2 * k
     return flags
 
 
+class _Ids(dict):
+    """Numbers of keys; a new key is handed to `add`, which returns its number."""
+
+    def __init__(self, add):
+        self.add = add
+
+    def __missing__(self, key):
+        k = self[key] = self.add(key)
+        return k
+
+
 class Tagger:
-    """The model with its per-type score tables, grown as types are met and bounded by MEMO."""
+    """The model with its score tables per token type, grown as types are met and bounded by MEMO.
+
+    A block of texts is cut into tokens by one pass of the regular expression; everything after that is arithmetic on
+    arrays, so the cost per token stays small.
+    """
 
     def __init__(self, model: dict):
         self.weights = {k: np.asarray(v, dtype=np.float32) / 100 for k, v in model["weights"].items()}
         self.trans = np.asarray(model["transitions"], dtype=np.float64) / 100 + crf.allowed_transitions()
-        self.skip = float(model["skip"])
-        zero = np.zeros(crf.N_LABELS, dtype=np.float32)
-        self.zero = zero
+        self.skip = np.zeros(len(crf.KINDS) + 1)
+        for kind, w in model["skip"].items():
+            self.skip[0 if kind == "O" else 1 + crf.KINDS.index(kind)] = w
+        self.zero = np.zeros(crf.N_LABELS, dtype=np.float32)
         self.flag_own = self._rows([[f"f={f}"] for f in FLAGS])
         self.flag_before = self._rows([[f"f-={f}"] for f in FLAGS])
         self.flag_after = self._rows([[f"f+={f}"] for f in FLAGS])
@@ -141,66 +178,60 @@ class Tagger:
         return np.stack([self._sum(f) for f in features])
 
     def _reset(self) -> None:
-        self.raw: dict[str, int] = {}
-        self.ids: dict[str, int] = {}
-        self.new: list[str] = []
+        self.types: list[str] = []
+        self.ids = _Ids(self._new_type)
         self.tables = [np.zeros((0, crf.N_LABELS), dtype=np.float32) for _ in range(1 + len(OFFSETS))]
-        self.words = np.zeros(0, dtype=np.int64)
-        self.word_ids: dict[str, int] = {}
-        self.edge = self.id_of("\n")
-
-    def id_of(self, t: str) -> int:
-        k = self.ids.get(t)
-        if k is None:
-            k = self.ids[t] = len(self.ids)
-            self.new.append(t)
-        return k
+        self.links = np.zeros(0, dtype=np.int64)
+        self.keys: dict[str, int] = {}
+        self._forget()
 
-    def raw_id(self, t: str) -> int:
-        k = self.raw.get(t)
-        if k is None:
-            k = self.raw[t] = self.id_of(token_type(t))
-        return k
+    def _forget(self) -> None:
+        self.raw = _Ids(self._new_raw)
+        self.new: list[tuple[int, int, bool]] = []
+        self.known = np.zeros((0, 3), dtype=np.int64)
+
+    def _new_type(self, t: str) -> int:
+        self.types.append(t)
+        return len(self.types) - 1
+
+    def _new_raw(self, t: str) -> int:
+        word = t.lstrip()
+        lead = t[: len(t) - len(word)]
+        self.new.append((self.ids["\n" if word == EDGE else token_type(word)], len(lead), "\n" in lead))
+        return len(self.raw)
 
     def _grow(self) -> None:
-        if not self.new:
+        if self.new:
+            self.known = np.concatenate([self.known, np.array(self.new, dtype=np.int64)])
+            self.new = []
+        fresh = self.types[len(self.links) :]
+        if not fresh:
             return
-        rows = [self._rows([own_features(t) for t in self.new]), *[self._rows([context_features(t, o) for t in self.new]) for o in OFFSETS]]
+        rows = [self._rows([own_features(t) for t in fresh]), *[self._rows([context_features(t, o) for t in fresh]) for o in OFFSETS]]
         self.tables = [np.concatenate([a, b]) for a, b in zip(self.tables, rows, strict=True)]
-        linkable = [t.lower() if len(t) >= 4 and t.isalpha() and t[0].isupper() else None for t in self.new]
-        self.words = np.concatenate([self.words, [-1 if w is None else self.word_ids.setdefault(w, len(self.word_ids)) for w in linkable]])
-        self.new = []
+        keys = [link_key(t) for t in fresh]
+        self.links = np.concatenate([self.links, [-1 if k is None else self.keys.setdefault(k, len(self.keys)) for k in keys]])
 
     def tag(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, end) of the passages of each text."""
         out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
         block, size = [], 0
         for n, text in enumerate(texts):
-            if not text:
-                continue
-            found = list(TOKEN.finditer(text))
-            tokens, starts = [m[0] for m in found], [m.start() for m in found]
-            ends = [a + len(t) for a, t in zip(starts, tokens, strict=True)]
-            get = self.raw.get
-            types = [get(t, -1) for t in tokens]
-            if -1 in types:
-                types = [self.raw_id(t) for t in tokens]
-            if types:
-                block.append((n, text, types, starts, ends))
-                size += len(types)
+            if text:
+                block.append(n)
+                size += len(text)
             if size >= CHUNK:
-                self._tag_block(block, out)
+                self._tag_block(block, texts, out)
                 block, size = [], 0
-                if len(self.raw) > MEMO:
-                    self._reset()
         if block:
-            self._tag_block(block, out)
+            self._tag_block(block, texts, out)
         return out
 
     def scores(self, types: np.ndarray, flags: np.ndarray, fresh: np.ndarray) -> np.ndarray:
         """Node scores; documents are separated by three edge tokens."""
-        self._grow()
-        e = self.tables[0][types] + self.flag_own[flags] + self.fresh[fresh]
+        e = self.tables[0][types]
+        e += self.flag_own[flags]
+        e += self.fresh[fresh]
         for o, table in zip(OFFSETS, self.tables[1:], strict=True):
             if o < 0:
                 e[-o:] += table[types[:o]]
@@ -210,32 +241,42 @@ class Tagger:
         e[:-1] += self.flag_after[flags[1:]]
         return e
 
-    def _tag_block(self, block: list[tuple], out: list[list[tuple[str, int, int]]]) -> None:
-        types, flags, fresh, doc = [], [], [], []
-        pad = [self.edge] * 3
-        for k, (_, text, ty, starts, ends) in enumerate(block):
-            types += pad + ty
-            flags += [0, 0, 0, *candidate_flags(text, starts, ends)]
-            new = [1] + [0] * (len(ty) - 1)
-            at = text.find("\n")
-            while at >= 0:  # the token after a line break starts fresh
-                if (i := bisect_left(starts, at)) < len(starts):
-                    new[i] = 1
-                at = text.find("\n", at + 1)
-            fresh += [0, 0, 0, *new]
-            doc += [-1, -1, -1, *[k] * len(ty)]
-        types_a, flags_a, fresh_a, doc_a = (np.asarray(x) for x in (types + pad, flags + [0] * 3, fresh + [0] * 3, doc + [-1] * 3))
-        node = self.scores(types_a, flags_a, fresh_a)
-        real = doc_a >= 0
-        words = np.where((flags_a == 1) | (flags_a == 2), -1, self.words[types_a])
-        labels = crf.decode(node[real], self.trans, doc_a[real], words[real], self.skip, must=flags_a[real] > 0)
-        at = 0
-        for n, text, ty, starts, ends in block:
-            mine = labels[at : at + len(ty)]
-            at += len(ty)
-            for kind, a, b in crf.spans(mine):
-                if (s := checked(text, crf.KINDS[kind - 1], starts[a], ends[b - 1])) is not None:
-                    out[n].append(s)
+    def nodes(self, texts: list[str]) -> tuple:
+        """(whole text, its documents' offsets, and per token: start, end, document, node scores, link, flag) of not empty texts."""
+        gap = EDGE * 3
+        whole = gap + gap.join(texts) + gap
+        sizes = np.array([len(t) for t in texts])
+        begin = np.cumsum(sizes + 3) - sizes
+        if len(self.raw) > MEMO:
+            self._forget()
+        if len(self.types) > MEMO:
+            self._reset()
+        tokens = COVER.findall(whole)
+        raw = np.fromiter(map(self.raw.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        ends = np.cumsum(np.fromiter(map(len, tokens), dtype=np.int64, count=len(tokens)))
+        self._grow()
+        types, lead, line = self.known[raw].T
+        starts = np.concatenate([[0], ends[:-1]]) + lead
+        doc = np.searchsorted(begin, starts, side="right") - 1
+        real = (doc >= 0) & (starts < begin[doc] + sizes[doc])
+        fresh = (line > 0) & real
+        fresh[1:] |= real[1:] & (doc[1:] != doc[:-1])
+        flags = candidate_flags(whole, starts)
+        node = self.scores(types, flags, fresh.astype(np.int64))
+        links = np.where((flags == 1) | (flags == 2), -1, self.links[types])
+        return whole, begin, starts[real], ends[real], doc[real], node[real], links[real], flags[real]
+
+    def _tag_block(self, block: list[int], texts: list[str], out: list[list[tuple[str, int, int]]]) -> None:
+        whole, begin, starts, ends, doc, node, links, flags = self.nodes([texts[n] for n in block])
+        labels = crf.decode(node, self.trans, doc, links, self.skip, must=flags > 0)
+        for kind, a, b in crf.spans(labels):
+            if (s := checked(whole, crf.KINDS[kind - 1], int(starts[a]), int(ends[b - 1]))) is not None:
+                k, at = doc[a], int(begin[doc[a]])
+                out[block[k]].append((s[0], s[1] - at, s[2] - at))
+
+
+_AFTER = re.compile(r"-[A-ZÀ-Þ][^\W\d_]+")
+_BEFORE = re.compile(r"(?<![\w-])(?:[A-ZÀ-Þ][^\W\d_]+-)+$")
 
 
 def checked(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None:
@@ -250,6 +291,11 @@ def checked(text: str, kind: str, a: int, b: int) -> tuple[str, int, int] | None
         b -= 1
     if kind == "name" and b - a > 1 and text[b - 1] == "." and not re.search(r"(?:^|[\W_])[^\W\d_]\.$", text[a:b]):
         b -= 1
+    if kind == "name" and a < b:  # a double name is never cut at its hyphen
+        while (m := _AFTER.match(text, b)) is not None:
+            b = m.end()
+        while (m := _BEFORE.search(text[max(0, a - 40) : a])) is not None:
+            a -= len(m[0])
     s = text[a:b]
     digits = sum(c.isdigit() for c in s)
     fine = {
