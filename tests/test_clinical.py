@@ -112,11 +112,97 @@ def test_graph(spark):
     for o in (0, 1, 1):
         w = w * 0.9 + o * 0.1
     assert graph.weights(h, ["k"], "t", "o").first().weight == pytest.approx(w)
-    nodes, edges, _ = fixtures.graph(spark)
+    nodes = spark.createDataFrame([("protocol", 0), ("raw", 1), ("dm", 2)], "id string, layer int")
+    edges = spark.createDataFrame([("protocol", "raw", "requires"), ("raw", "dm", "requires"), ("dm", "protocol", "enables")], "from_id string, to_id string, edge_type string")
     none = spark.createDataFrame([], "id string")
     assert {r.id for r in graph.frontier(nodes, edges, none).collect()} == {"protocol"}
 
 
+def test_cycles_against_the_drivers_order(spark):
+    import random
+
+    rng = random.Random(4)
+    for n_edges in (0, 12, 20, 45):
+        ids = [f"n{i}" for i in range(20)]
+        pairs = [(rng.choice(ids), rng.choice([*ids, "ghost"])) for _ in range(n_edges)]
+        e = spark.createDataFrame([(a, b, "requires") for a, b in pairs], "from_id string, to_id string, edge_type string")
+        found = {r.id for r in graph.stuck(spark.createDataFrame([(i,) for i in ids], "id string"), e).collect()}
+        assert found == set(graph.topological(set(pairs), ids)[1])
+
+
+def test_moving_average_of_a_long_history(spark):
+    rows = [("k", i, int(i * 7919 % 3 == 0)) for i in range(1000)] + [(None, 1, 1)]
+    w = 0.5
+    for _, _, o in rows[:-1]:
+        w = w * 0.9 + o * 0.1
+    got = {r.k: r.weight for r in graph.weights(spark.createDataFrame(rows, "k string, t int, o int"), ["k"], "t", "o").collect()}
+    assert got["k"] == pytest.approx(w, abs=1e-12) and got[None] == pytest.approx(0.55)
+
+
+def test_schedule_against_a_loop(spark):
+    import random
+
+    rng = random.Random(8)
+    items = [(rng.choice("gh"), f"i{k:02d}", rng.choice((0.2, 0.5, 1.0)), rng.randrange(1, 500), rng.random() < 0.3) for k in range(60)]
+    want = {}
+    for g in "gh":
+        used = 0
+        for _, name, _, t, current in sorted((i for i in items if i[0] == g), key=lambda i: (-i[2], i[1])):
+            left = 1000 - used
+            if left > 0 and t <= left:
+                give, status = (250, "truncated") if t > 250 and not current else (t, "loaded")
+            else:
+                give, status = (left, "truncated") if left >= 100 else (0, "dropped")
+            used += give
+            want[g, name] = (give, status)
+    out = graph.schedule(spark.createDataFrame(items, "grp string, name string, priority double, tokens int, current boolean"), 1000)
+    assert {(r.grp, r.name): (r.given, r.status) for r in out.collect()} == want
+
+
+def test_ranks_of_groups_split_by_buckets(spark):
+    import random
+
+    from vitaline.operators import ranks
+
+    rng = random.Random(2)
+    rows = [(rng.choice(("a", "a", "a", "b", None)), rng.choice((None, "2020-01-01", "2020-01-02T10", "2020-01-02", "2021")), k, rng.choice((None, float(k)))) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, d string, k long, v double")
+    got = {r.k: (r.rank, r.last) for r in ranks.carried(ranks.ranked(df, ["g"], ["d", "k"], F.substring("d", 1, 10)), ["g"], ["d", "k"], F.substring("d", 1, 10), "v", "last").collect()}
+    for g in ("a", "b", None):
+        last = None
+        for i, (_, _, k, v) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is not None, r[1] or "", r[2])), 1):
+            last = v if v is not None else last
+            assert got[k] == (i, last)
+    assert ranks.ranked(df.limit(0), ["g"], ["d", "k"], F.col("d")).count() == 0
+
+
+def test_completed_years(spark):
+    from vitaline.operators import sdtm
+
+    days = [("2000-02-29", "2001-02-28", 0), ("2000-02-29", "2001-03-01", 1), ("1999-12-31", "2000-12-30", 0), ("1999-12-31", "2000-12-31", 1), (None, "2000-01-01", None)]
+    df = spark.createDataFrame(days, "b string, r string, want int").select(sdtm.age_at(F.col("b").cast("date"), F.col("r").cast("date")).alias("got"), "want")
+    assert all(r.got == r.want for r in df.collect())
+
+
+def test_phrases_as_whole_words(spark):
+    texts = ["The committee supports a safe design", "in the modified intent-to-treat set", "ITT and per-protocol", "Fisher's exact test, then ANOVA", "analysis of covariance", "KM", "kmart", None, "", "the t-test", "Safety  set"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(text.method(F.col("t")).alias("m"), text.population(F.col("t")).alias("p"))
+    assert [tuple(r) for r in df.collect()] == [
+        ("Descriptive", "ITT"), ("Descriptive", "mITT"), ("Descriptive", "ITT"), ("Fisher", "ITT"), ("ANCOVA", "ITT"), ("Kaplan-Meier", "ITT"), ("Descriptive", "ITT"),
+        ("Descriptive", "ITT"), ("Descriptive", "ITT"), ("t-test", "ITT"), ("Descriptive", "SAF"),
+    ]
+
+
+def test_study_and_lists(spark):
+    plan = "Study Number: AB-1234\nPhase III\nPrimary endpoints:\n1. Change from baseline in score. ANCOVA in the ITT set\n2. short\nSecondary endpoints:\n- Time to first event by log-rank test\n- Responder rate in the per-protocol set by CMH\nStatistical methods\n"
+    df = spark.createDataFrame([(1, plan), (2, "see ST001 and ST000123, phase 2b"), (3, None), (4, "")], "doc_id long, text string")
+    assert [tuple(r) for r in text.study(df).orderBy("doc_id").collect()] == [(1, "AB-1234", "3"), (2, "ST000123", "2b"), (3, "UNKNOWN", "Unknown"), (4, "UNKNOWN", "Unknown")]
+    assert [tuple(r)[1:] for r in text.endpoints(df).collect()] == [
+        ("primary", "EP001", "Change from baseline in score", "ANCOVA", "ITT"), ("secondary", "EP_S01", "Time to first event by log-rank test", "Log-rank", "ITT"),
+        ("secondary", "EP_S02", "Responder rate in the per-protocol set by CMH", "CMH", "PP"),
+    ]
+
+
 def test_text(spark):
     r = spark.createDataFrame([("x" * 30, None)], "t string, n string").select(text.cut_text(F.col("t"), 5).alias("c"), text.token_estimate(F.col("n")).alias("k"), text.display_date(F.lit(date(2020, 3, 5))).alias("d"), text.display_date(F.lit(None).cast("date")).alias("m")).first()
     assert tuple(r) == ("xxxxx...", 1, "05MAR2020", "NK")

@@ -13,13 +13,13 @@ def test_text_queries_read_every_document(spark):
     q = entry.queries()
     docs = dict(duckdb.sql(f"select doc_id, text from '{D}/documents.parquet'").fetchall())
     shells = {(i, k.lower(), n) for i, t in docs.items() for k, n in re.findall(r"(?i)\b(table|figure|listing)\s+(\d+(?:\.\d+)*)\s*[:\-–]\s*[^\s]", t)}
-    found = q["text_shells_documents"](spark, D).collect()
+    found = q["text_shells"](spark, D).collect()
     assert {(r.doc_id, r.kind, r.number) for r in found} == shells and shells
-    ends = q["text_endpoints_documents"](spark, D).collect()
+    ends = q["text_endpoints"](spark, D).collect()
     named = {(i, k) for i, t in docs.items() for k in ("primary", "secondary") if re.search(rf"(?i){k} endpoint", t)}
     assert {(r.doc_id, r.kind) for r in ends} == named and named
-    assert {r.doc_id for r in q["text_study_documents"](spark, D).collect()} == set(docs)
-    assert {r.doc_id for r in q["text_arms_documents"](spark, D).collect()} == set(docs)
+    assert {r.doc_id for r in q["text_study"](spark, D).collect()} == set(docs)
+    assert {r.doc_id for r in q["text_arms"](spark, D).collect()} == set(docs)
 
 
 def test_every_section_and_shell_of_a_line(spark):
@@ -34,9 +34,9 @@ def test_findings_of_every_test_and_lineitem(spark):
     q = entry.queries()
     tests = duckdb.sql(f"select vstestcd, count(*) from '{D}/vs.parquet' group by 1").fetchall()
     assert len(tests) == 8
-    assert sorted(q["adam_adlb_all"](spark, D).groupBy("paramcd").count().collect()) == sorted(tests)
-    assert q["adam_derived_records_all"](spark, D).select("paramcd").distinct().count() == 8
-    assert q["sdtm_lb_all"](spark, D).count() == duckdb.sql(f"select count(*) from '{D}/lineitem.parquet'").fetchall()[0][0]
+    assert sorted(q["adam_adlb"](spark, D).groupBy("paramcd").count().collect()) == sorted(tests)
+    assert q["adam_derived_records"](spark, D).select("paramcd").distinct().count() == 8
+    assert q["sdtm_lb"](spark, D).count() == duckdb.sql(f"select count(*) from '{D}/lineitem.parquet'").fetchall()[0][0]
 
 
 def test_fuzzy_labels_meet_whatever_their_first_letters(spark):
@@ -100,7 +100,7 @@ def test_vector_search_of_every_query(spark):
 
     vec = dict(duckdb.sql(f"select vec_id, embedding::double[] from '{D}/embeddings.parquet'").fetchall())
     got = {}
-    for r in entry.queries()["graph_similar_all"](spark, D).collect():
+    for r in entry.queries()["graph_similar"](spark, D).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
     want = {i for i in vec if i % 100 == 0}
     assert set(got) == want and len(want) > 1

@@ -1,7 +1,8 @@
 """Tabulation domains to analysis datasets.
 
-Lookups are equi joins on subject keys, parents reduced to one row per key first; everything per record is a
-window over (subject, parameter), so a baseline needs no join back.
+Lookups are equi joins on subject keys, parents reduced to one row per key first. Baselines are aggregates per subject
+and parameter, combined on the map side and joined back, and values are carried forward bucket by bucket, so that a
+subject with a large part of all rows is no task of its own.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vitaline import registry as R
 from vitaline.functions import cols as C
+from vitaline.operators.ranks import carried
 
 
 def treatment_n(c: Column) -> Column:
@@ -65,12 +67,14 @@ def adae(ae: DataFrame, subjects: DataFrame, window_days: int = 30) -> DataFrame
     a, t0, t1 = F.col("astdt"), F.col("trtsdt"), F.col("trtedt")
     emergent = F.when(F.coalesce(F.col("saffl"), F.lit("N")) != "Y", "N").when(a.isNull() | t0.isNull(), None).when((a >= t0) & (t1.isNull() | (a <= F.date_add(t1, window_days))), "Y").otherwise("N")
     j = C.bind(j, trtemfl=emergent)
-    first = F.row_number().over(Window.partitionBy("usubjid", "aedecod", F.coalesce("trtemfl", F.lit("N"))).orderBy(F.col("astdt").asc_nulls_last(), "rec_id"))
+    order = F.struct(a.isNull(), a, F.col("rec_id"))
+    first = j.where("trtemfl = 'Y'").groupBy(F.col("usubjid").alias("__u"), F.col("aedecod").alias("__d")).agg(F.min(order)["rec_id"].alias("__first"))
+    j = j.join(first, F.col("usubjid").eqNullSafe(F.col("__u")) & F.col("aedecod").eqNullSafe(F.col("__d")), "left")
     sev = F.create_map(*[F.lit(x) for kv in R.SEVERITY_N.items() for x in kv])[F.col("aesev")]
     return j.select(
         "studyid", "usubjid", "rec_id", "aeterm", "aedecod", "aebodsys", "aesev", "aeser", "aerel", "trt01a", "saffl", "astdt", C.imputation_flag(F.col("aestdtc")).alias("astdtf"), "aendt",
         C.study_day(a, t0).alias("astdy"), C.study_day(F.col("aendt"), t0).alias("aendy"), (F.datediff("aendt", "astdt") + 1).alias("adurn"), "trtemfl",
-        F.when((F.col("trtemfl") == "Y") & (first == 1), "Y").otherwise("N").alias("aoccfl"), sev.alias("aesevn"),
+        F.when((F.col("trtemfl") == "Y") & (F.col("rec_id") == F.col("__first")), "Y").otherwise("N").alias("aoccfl"), sev.alias("aesevn"),
     )
 
 
@@ -88,13 +92,13 @@ def bds(rows: DataFrame, windows: Sequence[tuple[int, int, str, int]] = (), keys
     Baseline is the last value on or before first dose; change exists after baseline only; percent change is null
     where the baseline is 0.
     """
-    before = F.col("aval").isNotNull() & (F.col("adt") <= F.col("trtsdt"))
-    w = Window.partitionBy(*keys)
-    last = F.row_number().over(w.orderBy(F.when(before, 0).otherwise(1), F.col("adt").desc_nulls_last(), F.col("rec_id").desc()))
     ind = F.when(F.col("aval").isNull() | F.col("lo").isNull() | F.col("hi").isNull(), None).when(F.col("aval") < F.col("lo"), "L").when(F.col("aval") > F.col("hi"), "H").otherwise("N")
-    out = rows.withColumn("ablfl", F.when(before & (last == 1), "Y")).withColumn("anrind", ind).withColumn("ady", C.study_day(F.col("adt"), F.col("trtsdt")))
-    base = F.max(F.when(F.col("ablfl") == "Y", F.col("aval"))).over(w)
-    out = out.withColumn("base", base).withColumn("bnrind", F.max(F.when(F.col("ablfl") == "Y", F.col("anrind"))).over(w))
+    marked = rows.withColumn("anrind", ind).withColumn("ady", C.study_day(F.col("adt"), F.col("trtsdt")))
+    before = F.col("aval").isNotNull() & (F.col("adt") <= F.col("trtsdt"))
+    last = F.max(F.struct("adt", "rec_id", F.col("aval").alias("base"), F.col("anrind").alias("bnrind"))).alias("__l")
+    bases = marked.where(before).groupBy(*keys).agg(last).select(*keys, F.col("__l.rec_id").alias("__base_rec"), "__l.base", "__l.bnrind")
+    out = marked.join(bases, list(keys), "left")
+    out = out.withColumn("ablfl", F.when(before & (F.col("rec_id") == F.col("__base_rec")), "Y")).drop("__base_rec")
     post = F.col("adt") > F.col("trtsdt")
     out = out.withColumn("chg", F.when(post, F.col("aval") - F.col("base")))
     out = out.withColumn("pchg", F.when(F.col("base") != 0, F.col("chg") / F.col("base") * 100)).withColumn("shift1", F.concat("bnrind", "anrind"))
@@ -103,9 +107,8 @@ def bds(rows: DataFrame, windows: Sequence[tuple[int, int, str, int]] = (), keys
 
 
 def locf(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str = "aval") -> DataFrame:
-    """Append {value}_locf: the last known value up to the row."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(f"{value}_locf", F.last(value, ignorenulls=True).over(w))
+    """Append {value}_locf: the last known value up to the row; the first column of the order splits the groups."""
+    return carried(rows, keys, order, F.col(order[0]), value, f"{value}_locf")
 
 
 def derived_records(rows: DataFrame, keys: Sequence[str], value: str = "aval") -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitaline.session import cut_lineage
+
 BLOCKING = ("requires", "validates")
 
 
@@ -61,10 +63,41 @@ def topological(edges: Iterable[tuple[str, str]], nodes: Iterable[str]) -> tuple
     return order, sorted(n for n in after if waiting[n] > 0)
 
 
-def weights(history: DataFrame, keys: Sequence[str], order: str, outcome: str, step: float = 0.1, start: float = 0.5) -> DataFrame:
-    """Exponential moving average of outcomes in order: w = (1 - step) w + step outcome."""
-    g = history.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.col(outcome).cast("double").alias("o")))).alias("h"))
-    return g.select(*keys, F.aggregate("h", F.lit(start), lambda w, x: w * (1 - step) + x["o"] * step).alias("weight"))
+#: (1 - step) to this power is below the rounding of a double at the default step; older outcomes change nothing
+MEMORY = 400
+
+
+def stuck(nodes: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+    """(id) of the nodes on or behind a cycle: round by round, nodes that wait for no other are taken away with their edges.
+
+    The number of rounds is the depth of the graph; each keeps its edges in the shared checkpoint folder. Edges whose ends
+    are no nodes are ignored.
+    """
+    ids = nodes.select("id").distinct()
+    left = edges.select("from_id", "to_id").distinct().join(ids.select(F.col("id").alias("from_id")), "from_id", "left_semi").join(ids.select(F.col("id").alias("to_id")), "to_id", "left_semi")
+    left = cut_lineage(left)
+    size = left.count()
+    for _ in range(rounds):
+        kept = cut_lineage(left.join(left.select(F.col("to_id").alias("from_id")).distinct(), "from_id", "left_semi"))
+        now = kept.count()
+        if now == size:
+            return kept.select(F.col("to_id").alias("id")).unionByName(kept.select(F.col("from_id").alias("id"))).distinct()
+        left, size = kept, now
+    raise ValueError(f"more than {rounds} rounds")
+
+
+def weights(history: DataFrame, keys: Sequence[str], order: str, outcome: str, step: float = 0.1, start: float = 0.5, memory: int = MEMORY) -> DataFrame:
+    """Exponential moving average of outcomes in order: w = (1 - step) w + step outcome.
+
+    In closed form a sum over the outcomes by their rank from the end, so no key's history is gathered: the last
+    `memory` outcomes are picked with a limit on the map side, older ones weigh less than a double can show.
+    """
+    last = Window.partitionBy(*keys).orderBy(F.desc(order))
+    recent = history.select(*keys, order, F.col(outcome).cast("double").alias("__x")).withColumn("__r", F.row_number().over(last)).where(F.col("__r") <= memory)
+    tail = recent.groupBy(*keys).agg(F.sum(F.col("__x") * step * F.pow(F.lit(1 - step), F.col("__r") - 1)).alias("__s"))
+    size = history.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"))
+    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return tail.join(size, on).select(*keys, (F.col("__s") + start * F.pow(F.lit(1 - step), F.col("__n"))).alias("weight"))
 
 
 def laplace(uses: DataFrame, keys: Sequence[str], success: str) -> DataFrame:
@@ -97,16 +130,6 @@ def _dot(a, b):
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def similar(items: DataFrame, query: Sequence[float], vector: str, id_col: str, k: int, least: float) -> DataFrame:
-    """The k items of highest cosine similarity to a query vector (a top-k report), at least `least`."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-
-    v = F.col(vector)
-    cos = F.try_divide(_dot(v, q), F.sqrt(_dot(v, v)) * F.sqrt(_dot(q, q)))
-    ranked = items.select(id_col, cos.alias("score")).where(F.col("score") >= least)
-    return ranked.orderBy(F.desc("score"), id_col).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), id_col)))
-
-
 def similar_each(items: DataFrame, queries: DataFrame, vector: str, id_col: str, k: int, least: float) -> DataFrame:
     """(query_id, id, rank, score): for every row of queries the k items of highest cosine similarity, at least `least`.
 

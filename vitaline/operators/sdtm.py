@@ -1,4 +1,4 @@
-"""Raw records to tabulation domains: projections over built-in expressions; sequences are windows per subject."""
+"""Raw records to tabulation domains: projections over built-in expressions; sequences are ranks per subject that no hot subject holds up."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaline import registry as R
 from vitaline.functions import cols as C
+from vitaline.operators.ranks import ranked
 
 
 def usubjid(study: Column, site: Column, subj: Column, pad: int | None = None) -> Column:
@@ -19,9 +20,12 @@ def usubjid(study: Column, site: Column, subj: Column, pad: int | None = None) -
     return F.concat(parts[0], F.lit("-"), parts[1], F.lit("-"), parts[2])
 
 
-def seq(by: Sequence[str], order: Sequence[str]) -> Column:
-    """1, 2, ... per subject; the order must end in a unique key."""
-    return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+def with_seq(rows: DataFrame, name: str, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Append 1, 2, ... per subject; the order must end in a unique key. A subject's rows are split by the day (or the
+    range of whole numbers) the first column of the order begins with."""
+    first, kind = F.col(order[0]), dict(rows.dtypes)[order[0]]
+    whole = kind in ("tinyint", "smallint", "int", "bigint")
+    return ranked(rows, by, order, F.floor(first / 10_000) if whole else F.substring(first.cast("string"), 1, 10), name)
 
 
 def upper_map(c: Column, mapping: Mapping[str, str], otherwise: Column | None = None) -> Column:
@@ -34,8 +38,9 @@ def armcd(arm: Column, given: Column) -> Column:
 
 
 def age_at(birth: Column, ref: Column) -> Column:
-    """Completed years between two dates."""
-    return F.floor(F.months_between(ref, birth) / 12).cast("int")
+    """Completed years between two dates; someone born on 29 February completes a year on 1 March of common years."""
+    early = (F.month(ref) < F.month(birth)) | ((F.month(ref) == F.month(birth)) & (F.dayofmonth(ref) < F.dayofmonth(birth)))
+    return (F.year(ref) - F.year(birth) - early.cast("int")).cast("int")
 
 
 def map_dm(raw: DataFrame, country: str = "USA") -> DataFrame:
@@ -64,7 +69,7 @@ def map_ae(raw: DataFrame) -> DataFrame:
         upper_map(F.col("aesev"), R.SEVERITY).alias("aesev"), C.yes_no(F.col("aeser")).alias("aeser"), upper_map(F.col("aerel"), R.RELATION, F.lit("NOT RELATED")).alias("aerel"),
         C.clean(F.col("aeout")).alias("aeout"), iso_text(F.col("aestdtc")).alias("aestdtc"), iso_text(F.col("aeendtc")).alias("aeendtc"), "rec_id",
     )
-    return out.withColumn("aeseq", seq(["studyid", "usubjid"], ["aestdtc", "aeterm", "rec_id"]))
+    return with_seq(out, "aeseq", ["studyid", "usubjid"], ["aestdtc", "aeterm", "rec_id"])
 
 
 def map_ex(raw: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def map_ex(raw: DataFrame) -> DataFrame:
         C.map_lookup(route, R.ROUTE, F.upper(route)).alias("exroute"), C.map_lookup(freq, R.FREQUENCY, F.upper(freq)).alias("exdosfrq"),
         iso_text(F.col("exstdtc")).alias("exstdtc"), iso_text(F.col("exendtc")).alias("exendtc"), "rec_id",
     )
-    return out.withColumn("exseq", seq(["studyid", "usubjid"], ["exstdtc", "rec_id"]))
+    return with_seq(out, "exseq", ["studyid", "usubjid"], ["exstdtc", "rec_id"])
 
 
 def map_ds(raw: DataFrame) -> DataFrame:
@@ -85,13 +90,13 @@ def map_ds(raw: DataFrame) -> DataFrame:
         C.clean(F.col("studyid")).alias("studyid"), F.lit("DS").alias("domain"), C.key_norm(F.col("usubjid")).alias("usubjid"), C.clean(F.col("dsterm")).alias("dsterm"),
         C.map_lookup(term, R.DISPOSITION, F.upper(term)).alias("dsdecod"), iso_text(F.col("dsstdtc")).alias("dsstdtc"), "rec_id",
     )
-    return out.withColumn("dsseq", seq(["studyid", "usubjid"], ["dsstdtc", "rec_id"]))
+    return with_seq(out, "dsseq", ["studyid", "usubjid"], ["dsstdtc", "rec_id"])
 
 
 def map_domain(raw: DataFrame, domain: str, mapping: Mapping[str, Column | str], order: Sequence[str], by: Sequence[str] = ("studyid", "usubjid")) -> DataFrame:
     """Domain from a declarative mapping of variables to columns or expressions, with its sequence number."""
     cols = [(F.expr(e) if isinstance(e, str) else e).alias(n) for n, e in mapping.items()]
-    return raw.select(F.lit(domain).alias("domain"), *cols).withColumn(f"{domain.lower()}seq", seq(by, order))
+    return with_seq(raw.select(F.lit(domain).alias("domain"), *cols), f"{domain.lower()}seq", by, order)
 
 
 def code_terms(rows: DataFrame, dictionary: DataFrame, term: str, key: str, keep: Sequence[str]) -> DataFrame:

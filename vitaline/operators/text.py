@@ -2,28 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitaline import registry as R
 
+_SIGNS = r"[^\p{L}\p{N}]"
 
-def classify(c: Column, patterns: Mapping[str, str], default: str) -> Column:
-    """Name of the first pattern found, without regard to case."""
-    out = F.when(F.lit(False), "")
-    for name, p in patterns.items():
-        out = out.when(c.rlike(f"(?i){p}"), name)
-    return out.otherwise(default)
+
+def classify(c: Column, phrases: Mapping[str, Sequence[str]], default: str) -> Column:
+    """Name of the phrase a text mentions first, as whole words and without regard to case; the longer of two that begin together.
+
+    All phrases are one alternation, so a text is scanned once; what was found is looked up by its letters and digits.
+    """
+    names = {p: name for name, ps in phrases.items() for p in ps}
+    longest_first = sorted(names, key=lambda p: (-len(p), p))
+    any_phrase = "|".join(p.replace(" ", f"{_SIGNS}+") for p in longest_first)
+    found = F.regexp_extract(c, rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{any_phrase})(?![\p{{L}}\p{{N}}])", 0)
+    key = F.regexp_replace(F.lower(found), f"{_SIGNS}+", " ")
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[key], F.lit(default))
 
 
 def method(c: Column) -> Column:
-    return classify(c, R.METHODS, "Descriptive")
+    return classify(c, R.METHOD_PHRASES, "Descriptive")
 
 
 def population(c: Column) -> Column:
-    return classify(c, R.POPULATIONS, "ITT")
+    """The analysis set, ITT where none is named."""
+    return classify(c, R.POPULATION_PHRASES, "ITT")
 
 
 def shells(docs: DataFrame) -> DataFrame:
@@ -40,6 +48,10 @@ def shells(docs: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+#: what stands before an item of a list: a number, a letter or a bullet
+_MARK = r"\s*(?:\d{1,3}(?:\.\d+)*[.)]?|[A-Za-z][.)]|[-*•–])\s+"
+
+
 def endpoints(docs: DataFrame) -> DataFrame:
     """(doc_id, kind, id, name, method, population) of listed primary and secondary endpoints.
 
@@ -49,7 +61,7 @@ def endpoints(docs: DataFrame) -> DataFrame:
     parts = []
     for kind, prefix, width in (("primary", "EP", 3), ("secondary", "EP_S", 2)):
         sections = F.regexp_extract_all(F.col("text"), F.lit(rf"(?is){kind} endpoints?\s*:?(.*?)(?=(?:primary|secondary|exploratory) endpoint|analysis population|statistical method|\z)"), F.lit(1))
-        items = F.filter(F.transform(F.split("section", r"\n\s*(?:\d+\.?|[a-z]\)|•|-)\s*"), lambda x: F.trim(x)), lambda x: F.length(x) >= 10)
+        items = F.filter(F.transform(F.split("section", rf"\n(?={_MARK})"), lambda x: F.trim(F.regexp_replace(x, rf"^{_MARK}", ""))), lambda x: F.length(x) >= 10)
         rows = docs.select("doc_id", F.explode(sections).alias("section")).select("doc_id", F.lit(kind).alias("kind"), F.posexplode(items).alias("pos", "item"))
         line = F.substring_index("item", "\n", 1)
         name = F.when(line.contains("."), F.trim(F.substring_index(line, ".", 1))).otherwise(F.substring(line, 1, 100))
@@ -58,12 +70,15 @@ def endpoints(docs: DataFrame) -> DataFrame:
 
 
 def study(docs: DataFrame) -> DataFrame:
-    """(doc_id, study_id, phase) by the first pattern that applies."""
-    def first(c: str, patterns: list[str], default: str) -> Column:
-        return F.coalesce(*[F.when(F.regexp_extract(c, p, 1) != "", F.trim(F.regexp_extract(c, p, 1))) for p in patterns], F.lit(default))
-
-    sid = first("text", [r"(?i)study\s*(?:id|number|code)[:\s]*([A-Z0-9\-]+)", r"\b([A-Z]{2,4}\d{4,})"], "UNKNOWN")
-    return docs.select("doc_id", sid.alias("study_id"), first("text", [r"(?i)phase\s*(\d[a-z]?)", r"(?i)(phase\s*i{1,3})"], "Unknown").alias("phase"))
+    """(doc_id, study_id, phase): the code after "study number" or the like, else the first code of letters and digits;
+    the phase in Arabic digits, with its letter. UNKNOWN and Unknown where a text names none."""
+    text = F.col("text")
+    labelled = F.regexp_extract(text, r"\b(?i:(?:study|trial|protocol)\s+(?:identifier|number|code|id|no\.))[:#\s]+([A-Z0-9][A-Z0-9-]*\d[A-Z0-9-]*)", 1)
+    bare = F.regexp_extract(text, r"(?<![\w-])([A-Z]{2,6}\d{4,9})(?!\d)", 1)
+    phase = F.regexp_extract(text, r"\b(?i:phase)[\s-]+((?:[1-4]|I{1,3}|IV)[ab]?)\b", 1)
+    arabic = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(phase, "^IV", "4"), "^III", "3"), "^II", "2"), "^I", "1")
+    sid = F.when(labelled != "", labelled).when(bare != "", bare).otherwise("UNKNOWN")
+    return docs.select("doc_id", sid.alias("study_id"), F.when(phase != "", arabic).otherwise("Unknown").alias("phase"))
 
 
 def arms(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitaline.operators.ranks import ranked
+
 
 def descriptive(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """n, mean, sd (0 for one value), median, min, max of a numeric column per group."""
@@ -38,24 +40,21 @@ def arm_sizes(subjects: DataFrame, arm: str) -> DataFrame:
     return g.select(F.when(F.col("__g") == 1, "Total").otherwise(F.col(arm)).alias("arm"), "n")
 
 
-def frequency(events: DataFrame, subjects: DataFrame, levels: Sequence[str], arm: str = "arm", most: int = 1000) -> DataFrame:
+def frequency(events: DataFrame, subjects: DataFrame, levels: Sequence[str], arm: str = "arm") -> DataFrame:
     """Subjects and records per level and arm, with zero cells, a Total arm and percent of the arm's subjects.
 
-    events has usubjid, the levels and the arm; the grid comes from the distinct levels and the arms, which are
-    columns of a table and so few (more than `most` raise).
+    events has usubjid, the levels and the arm, and an arm is a property of the subject, so one count of subjects per
+    level and arm also gives the total. The zero cells come from the arm sizes, a scalar subquery.
     """
     e = events.groupBy(*levels, arm, "usubjid").agg(F.count(F.lit(1)).alias("r"))
-    per_arm = e.groupBy(*levels, arm).agg(F.count(F.lit(1)).alias("n_subjects"), F.sum("r").alias("n_records"))
-    total = e.groupBy(*levels).agg(F.count_distinct("usubjid").alias("n_subjects"), F.sum("r").alias("n_records")).withColumn(arm, F.lit("Total"))
-    sizes = arm_sizes(subjects, arm).limit(most + 1).collect()
-    if len(sizes) > most:
-        raise ValueError(f"more than {most} arms")
-    cells = F.array(*[F.struct(F.lit(r.arm).alias("__arm"), F.lit(r.n).alias("big_n")) for r in sizes])
-    grid = total.select(*levels, F.inline(cells))
-    found = per_arm.unionByName(total.select(per_arm.columns)).withColumnRenamed(arm, "__arm")
-    j = grid.join(found, [*levels, "__arm"], "left")
-    n = F.coalesce("n_subjects", F.lit(0))
-    return j.select(*levels, F.col("__arm").alias("arm"), n.alias("n_subjects"), F.coalesce("n_records", F.lit(0)).alias("n_records"), F.when(F.col("big_n") > 0, n / F.col("big_n") * 100).alias("pct"))
+    cell = F.struct(F.col(arm).alias("arm"), F.col("s").alias("s"), F.col("r").alias("r"))
+    per = e.groupBy(*levels, arm).agg(F.count(F.lit(1)).alias("s"), F.sum("r").alias("r")).groupBy(*levels).agg(F.collect_list(cell).alias("cells"), F.sum("s").alias("ts"), F.sum("r").alias("tr"))
+    sizes = arm_sizes(subjects, arm).agg(F.collect_list(F.struct("arm", "n")).alias("arms"))  # one row; arms are the columns of a table
+    out = per.withColumn("arms", sizes.scalar()).select(*levels, "cells", "ts", "tr", F.inline("arms"))
+    mine = F.get(F.filter("cells", lambda c: c["arm"].eqNullSafe(F.col("arm"))), F.lit(0))
+    total = F.col("arm") == "Total"
+    out = out.withColumn("n_subjects", F.when(total, F.col("ts")).otherwise(F.coalesce(mine["s"], F.lit(0)))).withColumn("n_records", F.when(total, F.col("tr")).otherwise(F.coalesce(mine["r"], F.lit(0))))
+    return out.select(*levels, "arm", "n_subjects", "n_records", F.when(F.col("n") > 0, F.col("n_subjects") / F.col("n") * 100).alias("pct"))
 
 
 def shift_table(rows: DataFrame, by: Sequence[str], base: str = "bnrind", post: str = "anrind", codes: Sequence[str] = ("L", "N", "H")) -> DataFrame:
@@ -131,9 +130,13 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> float:
 
 
 def paginate(df: DataFrame, order: Sequence[str], by: Sequence[str], lines: int) -> DataFrame:
-    """Row and page number within each listing (the partition, for instance a study or site)."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("row", F.row_number().over(w)).withColumn("page", F.ceil(F.col("row") / lines).cast("int"))
+    """Row and page number within each listing (for instance a study or site); the first column of the order splits it."""
+    return ranked(df, by, order, F.col(order[0]), "row").withColumn("page", F.ceil(F.col("row") / lines).cast("int"))
+
+
+def waterfall(rows: DataFrame, by: Sequence[str], best: str, tie: str) -> DataFrame:
+    """Append rank: the largest value first; whole numbers of the value split the groups."""
+    return ranked(rows, by, [F.desc(best), tie], F.floor(-F.col(best)), "rank")
 
 
 def compare(prod: DataFrame, qc: DataFrame, keys: Sequence[str], value: str, tolerance: float) -> DataFrame:
@@ -168,17 +171,12 @@ def _candidates(a: DataFrame, b: DataFrame, most: int) -> DataFrame:
     return lk.select("l", "k.*").join(rk.select("r", "k.*"), ["n", "i", "part"]).select("l", "r").distinct()
 
 
-def fuzzy_labels(left: DataFrame, right: DataFrame, label: str, most: int, block: int | None = None) -> DataFrame:
+def fuzzy_labels(left: DataFrame, right: DataFrame, label: str, most: int) -> DataFrame:
     """Closest label of the right side for every left label without an exact partner, within `most` edits.
 
-    Candidates come from an index over parts of the labels, complete for `most` edits. With `block` labels meet only
-    where that many first letters agree, and partners with a typing error there are lost.
+    Candidates come from an index over parts of the labels that is complete for `most` edits.
     """
     a = left.select(F.col(label).alias("l")).distinct().join(right.select(F.col(label).alias("l")).distinct(), "l", "left_anti")
-    b = right.select(F.col(label).alias("r")).distinct()
-    if block is None:
-        j = _candidates(a, b, most)
-    else:
-        j = a.withColumn("b", F.lower(F.substring("l", 1, block))).join(b.withColumn("b", F.lower(F.substring("r", 1, block))), "b")
+    j = _candidates(a, right.select(F.col(label).alias("r")).distinct(), most)
     j = j.withColumn("edits", F.levenshtein("l", "r")).where(F.col("edits") <= most)
     return j.groupBy("l").agg(F.min_by(F.struct("r", "edits"), F.struct("edits", "r")).alias("m")).select("l", "m.r", "m.edits")

@@ -33,79 +33,75 @@ def dispositions(spark: SparkSession, d: str) -> DataFrame:
 DISPOSITIONS = "raw_ds AS (SELECT studyid, usubjid, CASE WHEN dctreasn = 'LOST TO FOLLOW-UP' THEN 'LTFU' WHEN dctreasn IS NULL THEN 'completed study' ELSE dctreasn END AS dsterm, rfendtc AS dsstdtc, rec_id FROM adsl WHERE deleted_at IS NULL)"
 
 
-def lab_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Findings (subject, parameter, value, day, first dose, range) from vital signs that carry a standard value."""
-    v = table(spark, d, "vs").where(F.col("vstestcd").isin("SYSBP", "PULSE", "WEIGHT"))
-    starts = table(spark, d, "ex").groupBy(C.key_norm(F.col("usubjid")).alias("usubjid")).agg(F.min(C.iso_date(F.col("exstdtc"))).alias("trtsdt"))
-    lo = F.when(F.col("vstestcd") == "SYSBP", 100.0).when(F.col("vstestcd") == "PULSE", 60.0).otherwise(50.0)
-    hi = F.when(F.col("vstestcd") == "SYSBP", 140.0).when(F.col("vstestcd") == "PULSE", 100.0).otherwise(90.0)
-    return v.select("usubjid", F.col("vstestcd").alias("paramcd"), F.col("vsstresn").alias("aval"), C.iso_date(F.col("vsdtc")).alias("adt"), lo.alias("lo"), hi.alias("hi"), "rec_id").join(starts, "usubjid", "left")
-
-
 ISO = "CASE WHEN regexp_matches(replace(trim({c}),'/','-'), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(substr(replace(trim({c}),'/','-'),1,10) AS DATE) END"
-LAB = f"""starts AS (SELECT upper(trim(usubjid)) AS usubjid, min({ISO.format(c="exstdtc")}) AS trtsdt FROM ex GROUP BY 1),
-lab AS (SELECT v.usubjid, vstestcd AS paramcd, vsstresn AS aval, {ISO.format(c="vsdtc")} AS adt,
-  CASE vstestcd WHEN 'SYSBP' THEN 100.0 WHEN 'PULSE' THEN 60.0 ELSE 50.0 END AS lo, CASE vstestcd WHEN 'SYSBP' THEN 140.0 WHEN 'PULSE' THEN 100.0 ELSE 90.0 END AS hi,
-  v.rec_id, s.trtsdt FROM vs v LEFT JOIN starts s ON v.usubjid = s.usubjid WHERE vstestcd IN ('SYSBP','PULSE','WEIGHT'))"""
-
-
-#: Normal range per vital sign, in its standard unit; the first three as in lab_rows.
+#: Normal range per vital sign, in its standard unit; set here, not given by the data.
 RANGES = {"SYSBP": (100.0, 140.0), "PULSE": (60.0, 100.0), "WEIGHT": (50.0, 90.0), "DIABP": (60.0, 90.0), "RESP": (12.0, 20.0), "TEMP": (36.0, 38.0), "OXYSAT": (95.0, 100.0), "HEIGHT": (150.0, 190.0)}
 
 
-def all_lab_rows(spark: SparkSession, d: str) -> DataFrame:
-    """lab_rows of every test; one without a range in RANGES keeps its rows with a null range."""
+def lab_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Findings (subject, parameter, value, day, first dose, range) from vital signs; a test without a range keeps a null one."""
     ranges = spark.createDataFrame([(k, *v) for k, v in RANGES.items()], "paramcd string, lo double, hi double")
     starts = table(spark, d, "ex").groupBy(C.key_norm(F.col("usubjid")).alias("usubjid")).agg(F.min(C.iso_date(F.col("exstdtc"))).alias("trtsdt"))
     v = table(spark, d, "vs").select("usubjid", F.col("vstestcd").alias("paramcd"), F.col("vsstresn").alias("aval"), C.iso_date(F.col("vsdtc")).alias("adt"), "rec_id")
     return v.join(ranges, "paramcd", "left").join(starts, "usubjid", "left")
 
 
-LAB_ALL = f"""starts AS (SELECT upper(trim(usubjid)) AS usubjid, min({ISO.format(c="exstdtc")}) AS trtsdt FROM ex GROUP BY 1),
+LAB = f"""starts AS (SELECT upper(trim(usubjid)) AS usubjid, min({ISO.format(c="exstdtc")}) AS trtsdt FROM ex GROUP BY 1),
 ranges(vstestcd, lo, hi) AS (VALUES {", ".join(f"('{k}', {lo}::DOUBLE, {hi}::DOUBLE)" for k, (lo, hi) in RANGES.items())}),
 lab AS (SELECT v.usubjid, v.vstestcd AS paramcd, vsstresn AS aval, {ISO.format(c="vsdtc")} AS adt, r.lo, r.hi, v.rec_id, s.trtsdt FROM vs v LEFT JOIN ranges r ON v.vstestcd = r.vstestcd LEFT JOIN starts s ON v.usubjid = s.usubjid)"""
 
 
-def study_config(spark: SparkSession) -> DataFrame:
-    """One study's arms, criteria and visits."""
-    return spark.sql(
-        "SELECT 'ST01' AS studyid, 'Heart study' AS title, '' AS indication, 'PHASE III' AS phase, '300' AS enrolment, "
-        "array(named_struct('name','Placebo','code','PBO'), named_struct('name','Low Dose','code','LOW'), named_struct('name','High Dose','code','HIGH')) AS arms, "
-        "array('Age 18 or over','No prior therapy') AS criteria, "
-        "array(named_struct('name','Screening','window',0), named_struct('name','Baseline','window',0), named_struct('name','Week 2','window',14), named_struct('name','Week 4','window',14)) AS visits"
+def studies(spark: SparkSession, d: str) -> DataFrame:
+    """Every study of dm: attributes, arms, criteria and visits (from vs) as a study's configuration holds them.
+
+    The arrays are the distinct arms, countries and visits of a study, which are bounded by its design.
+    """
+    dm, vs = table(spark, d, "dm"), table(spark, d, "vs")
+    arms = dm.where("trim(armcd) <> ''").select("studyid", F.struct(F.col("armcd").alias("code"), F.col("arm").alias("name")).alias("a")).distinct().groupBy("studyid").agg(F.sort_array(F.collect_list("a")).alias("arms"))
+    criteria = dm.where("trim(country) <> ''").select("studyid", F.concat(F.lit("Resident of "), "country").alias("c")).distinct().groupBy("studyid").agg(F.sort_array(F.collect_list("c")).alias("criteria"))
+    visit = F.struct(F.col("visitnum").alias("n"), F.concat(F.lit("Visit "), F.col("visitnum")).alias("name"), F.col("window"))
+    visits = vs.where("visitnum is not null").select("studyid", "visitnum", (F.col("visitnum") % 3 * 7).alias("window")).distinct().groupBy("studyid").agg(F.sort_array(F.collect_list(visit)).alias("visits"))
+    base = dm.where("trim(studyid) <> ''").groupBy("studyid").agg(F.concat(F.lit("Study "), F.first("studyid")).alias("title"), F.max(F.when(F.col("ageu") != "YEARS", F.col("ageu"))).alias("indication"), F.count_distinct("usubjid").cast("string").alias("enrolment"))
+    return base.join(arms, "studyid", "left").join(criteria, "studyid", "left").join(visits, "studyid", "left")
+
+
+def graph(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes, edges and finished nodes of a dependency graph over the whole trade tables: nations, suppliers, parts,
+    customers and orders, with an edge where a row of one needs the other. Orders in part point back to their customer, urgent ones to nothing."""
+    t = {n: table(spark, d, n) for n in ("nation", "supplier", "part", "customer", "orders", "lineitem")}
+
+    def name(letter: str, c: str):
+        return F.concat(F.lit(letter), F.col(c).cast("string"))
+
+    ids = [("nation", "n", "n_nationkey", 0), ("supplier", "s", "s_suppkey", 1), ("customer", "c", "c_custkey", 1), ("part", "p", "p_partkey", 2), ("orders", "o", "o_orderkey", 3)]
+    nodes = None
+    for tab, letter, c, layer in ids:
+        one = t[tab].select(name(letter, c).alias("id"), F.lit(layer).alias("layer"))
+        nodes = one if nodes is None else nodes.unionByName(one)
+    kind = F.when(F.col("k") % 3 == 0, "enables").when(F.col("k") % 3 == 1, "validates").otherwise("requires")
+    lines = t["lineitem"]
+    edges = (
+        t["supplier"].select(name("n", "s_nationkey").alias("from_id"), name("s", "s_suppkey").alias("to_id"), F.lit("requires").alias("edge_type"))
+        .unionByName(t["customer"].select(name("n", "c_nationkey").alias("from_id"), name("c", "c_custkey").alias("to_id"), F.lit("requires").alias("edge_type")))
+        .unionByName(t["orders"].select(name("c", "o_custkey").alias("from_id"), name("o", "o_orderkey").alias("to_id"), F.lit("requires").alias("edge_type")))
+        .unionByName(lines.select(name("s", "l_suppkey").alias("from_id"), name("p", "l_partkey").alias("to_id"), F.col("l_suppkey").alias("k")).distinct().select("from_id", "to_id", kind.alias("edge_type")))
+        .unionByName(lines.select(name("p", "l_partkey").alias("from_id"), name("o", "l_orderkey").alias("to_id"), F.col("l_partkey").alias("k")).distinct().select("from_id", "to_id", kind.alias("edge_type")))
+        .unionByName(t["orders"].where("o_orderstatus = 'P'").select(name("o", "o_orderkey").alias("from_id"), name("c", "o_custkey").alias("to_id"), F.lit("requires").alias("edge_type")))
+        .unionByName(t["orders"].where("o_orderpriority = '1-URGENT'").select(name("x", "o_orderkey").alias("from_id"), name("o", "o_orderkey").alias("to_id"), F.lit("enables").alias("edge_type")))
     )
+    done = (
+        t["nation"].select(name("n", "n_nationkey").alias("id")).unionByName(t["customer"].select(name("c", "c_custkey").alias("id"))).unionByName(t["supplier"].where("s_acctbal >= 0").select(name("s", "s_suppkey").alias("id")))
+        .unionByName(t["part"].where("p_size <= 25").select(name("p", "p_partkey").alias("id"))).unionByName(t["orders"].where("o_orderstatus = 'F'").select(name("o", "o_orderkey").alias("id")))
+    )
+    return nodes, edges, done
 
 
-NODES = [("protocol", 0), ("sap", 0), ("raw", 1), ("dm", 2), ("ae", 2), ("ex", 2), ("sdtm_qc", 3), ("adsl", 4), ("adae", 4), ("adtte", 4), ("tables", 5), ("define", 6), ("package", 6)]
-EDGES = [
-    ("protocol", "sap", "requires"), ("protocol", "raw", "requires"), ("raw", "dm", "requires"), ("raw", "ae", "requires"), ("raw", "ex", "requires"), ("dm", "sdtm_qc", "requires"), ("ae", "sdtm_qc", "validates"),
-    ("ex", "sdtm_qc", "enables"), ("dm", "adsl", "requires"), ("ex", "adsl", "requires"), ("adsl", "adae", "requires"), ("ae", "adae", "requires"), ("adsl", "adtte", "requires"), ("adae", "tables", "requires"),
-    ("sap", "tables", "enables"), ("sdtm_qc", "define", "requires"), ("tables", "package", "requires"), ("define", "package", "requires"), ("package", "raw", "requires"), ("ghost", "tables", "enables"),
-]
-DONE = ["protocol", "raw", "dm", "ex"]
-
-
-def graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.createDataFrame(NODES, "id string, layer int"), spark.createDataFrame(EDGES, "from_id string, to_id string, edge_type string"), spark.createDataFrame([(x,) for x in DONE], "id string")
-
-
-def _values(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
-
-
-GRAPH = f"nodes(id, layer) AS (VALUES {_values(NODES)}), edges(from_id, to_id, edge_type) AS (VALUES {_values(EDGES)}), done(id) AS (VALUES {_values([(x,) for x in DONE])})"
-
-PLAN = (
-    "Study Number: AB-1234\nPhase 3\nArm A: Placebo tablets\nArm B: Active 10 mg\nArm A: again\n"
-    "Primary endpoints:\n1. Change from baseline in score at Week 12. ANCOVA in the ITT set\n2. short\n"
-    "Secondary endpoints:\n- Time to first event by log-rank test\n- Responder rate in the per-protocol set by CMH\n"
-    "Statistical methods\nTable 14.1: Demographics\nFigure 14.2 - Survival curves\nListing 16.2.1: Adverse events\n"
-)
-
-
-def plans(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(1, PLAN), (2, "Nothing of use, KM only"), (3, "")], "doc_id long, text string")
-
+_KIND = "CASE k % 3 WHEN 0 THEN 'enables' WHEN 1 THEN 'validates' ELSE 'requires' END"
+GRAPH = f"""nodes AS (SELECT 'n' || n_nationkey AS id, 0 AS layer FROM nation UNION ALL SELECT 's' || s_suppkey, 1 FROM supplier UNION ALL SELECT 'c' || c_custkey, 1 FROM customer UNION ALL SELECT 'p' || p_partkey, 2 FROM part UNION ALL SELECT 'o' || o_orderkey, 3 FROM orders),
+edges AS (SELECT 'n' || s_nationkey AS from_id, 's' || s_suppkey AS to_id, 'requires' AS edge_type FROM supplier UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey, 'requires' FROM customer UNION ALL SELECT 'c' || o_custkey, 'o' || o_orderkey, 'requires' FROM orders
+  UNION ALL SELECT 's' || k, 'p' || l_partkey, {_KIND} FROM (SELECT DISTINCT l_suppkey AS k, l_partkey FROM lineitem) UNION ALL SELECT 'p' || k, 'o' || l_orderkey, {_KIND} FROM (SELECT DISTINCT l_partkey AS k, l_orderkey FROM lineitem)
+  UNION ALL SELECT 'o' || o_orderkey, 'c' || o_custkey, 'requires' FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'x' || o_orderkey, 'o' || o_orderkey, 'enables' FROM orders WHERE o_orderpriority = '1-URGENT'),
+done AS (SELECT 'n' || n_nationkey AS id FROM nation UNION ALL SELECT 'c' || c_custkey FROM customer UNION ALL SELECT 's' || s_suppkey FROM supplier WHERE s_acctbal >= 0 UNION ALL SELECT 'p' || p_partkey FROM part WHERE p_size <= 25 UNION ALL SELECT 'o' || o_orderkey FROM orders WHERE o_orderstatus = 'F')"""
 
 def subjects(spark: SparkSession, d: str) -> DataFrame:
     """The subject-level dataset from raw demographics, exposure and dispositions."""

@@ -41,9 +41,13 @@ def spread(df: DataFrame) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise df in the shared checkpoint folder, so that losing an executor never loses it.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a local one is made.
+    The folder is the session's spark.checkpoint.dir. Where that is unset a session in one process (tests) gets a folder
+    of its machine; on a cluster that is refused, as such a folder is lost with its machine.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vitaline-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vitaline-"))
     return df.checkpoint(eager=True)
