@@ -3,6 +3,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from vitaline.operators import orphans, profile, reshape, units
@@ -107,7 +108,7 @@ def test_quantities(spark):
 # --- references
 
 
-def test_orphans_against_loop(spark, monkeypatch):
+def test_orphans_against_loop(spark):
     rng = random.Random(8)
     parents = [(rng.choice(["k%d", "K%d ", " k%d"]) % rng.randrange(30), D + timedelta(days=rng.randrange(60)), None if rng.random() < 0.7 else D, i) for i in range(60)] + [(None, D, None, 99)]
     children = [(rng.choice(["k%d", " K%d"]) % (7 if rng.random() < 0.4 else rng.randrange(45)), D + timedelta(days=rng.randrange(90), minutes=i), i) for i in range(4000)] + [(None, D, 90001), ("  ", D, 90002), ("k1", None, 90003)]
@@ -125,13 +126,16 @@ def test_orphans_against_loop(spark, monkeypatch):
             want.add((i, at and at.strftime("%Y-%m"), kind))
     p = spark.createDataFrame(parents, "usubjid string, received_at timestamp, deleted_at timestamp, k int")
     c = spark.createDataFrame(children, "usubjid string, received_at timestamp, rec_id long").withColumn("k", F.lit(1)).withColumn("kind", F.lit("x"))
-    assert orphans.heavy_keys(c, "usubjid", 0.1).count() == 1
-    got = {tuple(r) for r in orphans.orphan_rows(c, p, "usubjid").collect()}
-    assert got == want
-    report = {(r.period, r.kind): r.n_rows for r in orphans.orphan_report(c, p, "usubjid").collect()}
-    counts = {}
-    for _, m, k in want:
+    counts, keys = {}, {}
+    by_id = {i: (k or "").strip().upper() for k, _, i in children}
+    for i, m, k in want:
         counts[m, k] = counts.get((m, k), 0) + 1
-    assert report == counts
+        keys.setdefault((m, k), set()).add(by_id[i])
+    assert orphans.heavy_keys(orphans.references(c, "usubjid"), 0.1).count() == 1
+    # no key is heavy, one is, some are, all are
+    for share in (1.0, 0.1, 0.015, 0.0):
+        assert sorted(map(str, orphans.orphan_rows(c, p, "usubjid", share=share).collect())) == sorted(str(Row(rec_id=i, period=m, kind=k)) for i, m, k in want)
+        report = {(r.period, r.kind): (r.n_rows, r.n_keys) for r in orphans.orphan_report(c, p, "usubjid", share=share).collect()}
+        assert report == {x: (n, len(keys[x] - {""})) for x, n in counts.items()}
     assert orphans.orphan_rows(c.limit(0), p, "usubjid").count() == 0
     assert {r.kind for r in orphans.orphan_rows(c, p.limit(0), "usubjid").collect()} == {"missing"}

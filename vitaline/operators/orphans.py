@@ -1,13 +1,15 @@
 """Problem 6: references to records that are missing, deleted or arrive later.
 
-The parent table is reduced to one row per key (map-side combine). References are pre-aggregated per key and month,
-so a key that holds a third of all rows becomes a few rows before anything is shuffled. Keys with many references
-are heavy: their number is at most rows / threshold, so their parent state is broadcast and their rows never move;
-the remaining keys are joined by shuffle. Both halves are united, nothing is dropped.
+One operator, orphan_keys, does the work for both results. References are pre-aggregated per key and period (map-side
+combine), so a key that holds a third of all rows becomes a few rows before anything is shuffled. Keys with more than a
+share of all references are heavy, at most 1 / share of them: their parent state is broadcast and checked without moving
+a row. The remaining keys meet the parents in a shuffle join, and both halves are united. What comes out is one row per
+orphaned key and period, with counts; orphan_report sums them, orphan_rows goes back to the child rows of these keys,
+those of heavy keys again by broadcast, the others by shuffle.
 
 Defined results: a null or blank key refers to nothing (missing); parents with a null key are no parents; rows
 without received_at have a null period and are never late; repeated child rows each count; an empty parent table
-makes every reference missing.
+makes every reference missing; an empty child table gives nothing.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from pyspark.sql import functions as F
 
 from vitaline.functions.cols import key_norm
 
-#: Heavy keys are broadcast only up to this many; beyond it the threshold is raised, so the bound always holds.
-MAX_HEAVY = 10_000
+#: Keys with more than this share of all references are heavy, so there are at most 1 / SHARE of them.
+SHARE = 0.001
+_ALWAYS = "0001-01-01 00:00:00"
 
 
 def parent_state(parent: DataFrame, key: str, deleted: str = "deleted_at", received: str = "received_at") -> DataFrame:
@@ -26,49 +29,63 @@ def parent_state(parent: DataFrame, key: str, deleted: str = "deleted_at", recei
 
     A live row without arrival time counts as always there.
     """
-    live = F.when(F.col(deleted).isNull(), F.coalesce(F.col(received), F.lit("0001-01-01 00:00:00").cast(parent.schema[received].dataType)))
-    return parent.select(key_norm(F.col(key)).alias("k"), live.alias("__live")).where(F.col("k").isNotNull()).groupBy("k").agg(F.min("__live").alias("live_from"))
+    live = F.when(F.col(deleted).isNull(), F.coalesce(F.col(received), F.lit(_ALWAYS).cast(parent.schema[received].dataType)))
+    return parent.select(key_norm(F.col(key)).alias("k"), live.alias("__live")).where(F.col("k").isNotNull()).groupBy("k").agg(F.min("__live").alias("live_from"), F.lit(True).alias("found"))
 
 
-def heavy_keys(child: DataFrame, key: str, share: float = 0.001) -> DataFrame:
-    """Keys with more than `share` of the child's rows (at most 1 / share of them)."""
-    counts = child.select(key_norm(F.col(key)).alias("k")).where(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("c"))
-    total = child.agg(F.count(F.lit(1)).alias("t"))
-    return counts.join(F.broadcast(total), F.col("c") > F.greatest(F.lit(1000), F.col("t") * max(share, 1 / MAX_HEAVY))).select("k")
+def references(child: DataFrame, key: str, received: str = "received_at") -> DataFrame:
+    """(k, period, n, first_at, last_at): the references of the child, one row per key and period."""
+    rows = child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"))
+    return rows.groupBy("k", F.date_format("__at", "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first_at"), F.max("__at").alias("last_at"))
 
 
-def _kind(received: Column, found: Column, live: Column) -> Column:
-    return F.when(found.isNull(), "missing").when(live.isNull(), "deleted").when(live > received, "late")
+def heavy_keys(refs: DataFrame, share: float = SHARE) -> DataFrame:
+    """(k) of the keys with more than `share` of all references; at most 1 / share of them, so they may be broadcast."""
+    total = refs.agg(F.sum("n").alias("t")).scalar()
+    return refs.where(F.col("k").isNotNull()).groupBy("k").agg(F.sum("n").alias("c")).where(F.col("c") > total * share).select("k")
 
 
-def orphan_rows(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, rec_id: str = "rec_id", received: str = "received_at") -> DataFrame:
+def _kind(first: Column, last: Column) -> Column:
+    """late if the parent came after the last reference of the period, part if only after some of them."""
+    live = F.col("live_from")
+    return F.when(F.col("found").isNull(), "missing").when(live.isNull(), "deleted").when(live > last, F.when(live > first, "late")).when(live > first, "part")
+
+
+def orphan_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at", share: float = SHARE) -> DataFrame:
+    """(k, period, n, kind, live_from, heavy) of every key and period with a reference that does not hold.
+
+    kind is missing, deleted, late, or part where only the references before live_from are late.
+    """
+    refs, state = references(child, key, received), parent_state(parent, parent_key or key)
+    heavy = F.broadcast(heavy_keys(refs, share))
+    hot = refs.join(heavy, "k", "left_semi").join(F.broadcast(state.join(heavy, "k", "left_semi")), "k", "left").withColumn("heavy", F.lit(True))
+    none = refs.where(F.col("k").isNull()).select("*", F.lit(None).cast(state.schema["live_from"].dataType).alias("live_from"), F.lit(None).cast("boolean").alias("found"), F.lit(False).alias("heavy"))
+    cold = refs.where(F.col("k").isNotNull()).join(heavy, "k", "left_anti").join(state, "k", "left").withColumn("heavy", F.lit(False))
+    both = hot.unionByName(cold).unionByName(none).withColumn("kind", _kind(F.col("first_at"), F.col("last_at")))
+    return both.where(F.col("kind").isNotNull()).select("k", "period", "n", "kind", "live_from", "heavy")
+
+
+def orphan_rows(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, rec_id: str = "rec_id", received: str = "received_at", share: float = SHARE) -> DataFrame:
     """(rec_id, period, kind) of every child row whose reference does not hold when the row arrives."""
-    rows = child.select(F.col(rec_id).alias("rec_id"), F.col(received).alias("__at"), key_norm(F.col(key)).alias("k"))
-    state = parent_state(parent, parent_key or key)
-    heavy = heavy_keys(child, key)
-    hot_state = heavy.join(state, "k", "left").select("k", F.lit(1).alias("__hot"), F.col("live_from").alias("__hot_live"), F.col("live_from").isNotNull().alias("__any"))
-    # whether a hot key has a parent row at all, even a deleted one
-    hot_state = hot_state.join(state.select("k", F.lit(1).alias("__seen")), "k", "left")
-    marked = rows.join(F.broadcast(hot_state), "k", "left")
-    kind = _kind(F.col("__at"), F.col("__seen"), F.col("__hot_live"))
-    hot = marked.where(F.col("__hot").isNotNull()).select("rec_id", "__at", kind.alias("kind"))
-    cold = marked.where(F.col("__hot").isNull() & F.col("k").isNotNull()).select("rec_id", "__at", "k")
-    cold = cold.join(state.withColumn("__f", F.lit(1)), "k", "left").select("rec_id", "__at", _kind(F.col("__at"), F.col("__f"), F.col("live_from")).alias("kind"))
-    none = rows.where(F.col("k").isNull()).select("rec_id", "__at", F.lit("missing").alias("kind"))
-    return hot.unionByName(cold).unionByName(none).where(F.col("kind").isNotNull()).select("rec_id", F.date_format("__at", "yyyy-MM").alias("period"), "kind")
-
-
-def orphan_report(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at") -> DataFrame:
-    """(period, kind, n_rows, n_keys): references are pre-aggregated per key and arrival before the parent is looked up."""
-    refs = child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"))
-    pre = refs.groupBy("k", F.date_trunc("day", "__at").alias("__day")).agg(F.count(F.lit(1)).alias("c"), F.min("__at").alias("a"), F.max("__at").alias("b"))
-    state = parent_state(parent, parent_key or key).withColumn("__f", F.lit(1))
-    j = pre.join(state, "k", "left")
-    kind = F.when(F.col("k").isNull() | F.col("__f").isNull(), "missing").when(F.col("live_from").isNull(), "deleted").when(F.col("live_from") > F.col("b"), "late").when(F.col("live_from") > F.col("a"), "part")
-    j = j.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    whole = j.where(F.col("kind") != "part").select("k", "__day", "c", "kind")
-    # a parent that arrives within the day splits it: only those references are looked at one by one
-    part = j.where(F.col("kind") == "part").select("k", "__day", "live_from")
-    split = refs.withColumn("__day", F.date_trunc("day", "__at")).join(part, ["k", "__day"]).where(F.col("live_from") > F.col("__at"))
-    split = split.groupBy("k", "__day").agg(F.count(F.lit(1)).alias("c")).withColumn("kind", F.lit("late"))
-    return whole.unionByName(split).groupBy(F.date_format("__day", "yyyy-MM").alias("period"), "kind").agg(F.sum("c").alias("n_rows"), F.count_distinct("k").alias("n_keys"))
+    found = orphan_keys(child, parent, key, parent_key, received, share)
+    rows = child.select(F.col(rec_id).alias("rec_id"), F.col(received).alias("__at"), key_norm(F.col(key)).alias("k"), F.date_format(F.col(received), "yyyy-MM").alias("period"))
+    none = rows.where(F.col("k").isNull()).select("rec_id", "period", F.lit("missing").alias("kind"))
+    keys = found.where(F.col("k").isNotNull()).select(F.col("k").alias("__k"), F.col("period").alias("__p"), "kind", "live_from", "heavy")
+    same = (F.col("k") == F.col("__k")) & F.col("period").eqNullSafe(F.col("__p"))
+    # the periods of a heavy key are months, so these are few rows too
+    hot = rows.join(F.broadcast(keys.where("heavy")), same)
+    cold = rows.where(F.col("k").isNotNull()).join(F.broadcast(heavy_keys(references(child, key, received), share)), "k", "left_anti").join(keys.where("not heavy"), same)
+    late = F.col("kind").isin("missing", "deleted") | (F.col("live_from") > F.col("__at"))
+    return hot.unionByName(cold).where(late).select("rec_id", "period", F.regexp_replace("kind", "^part$", "late").alias("kind")).unionByName(none)
+
+
+def orphan_report(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at", share: float = SHARE) -> DataFrame:
+    """(period, kind, n_rows, n_keys): the orphan counts of orphan_keys; only where a parent arrives within a period are
+    that key's rows of the period counted one by one."""
+    found = orphan_keys(child, parent, key, parent_key, received, share)
+    whole = found.where("kind <> 'part'").select("k", "period", "n", "kind")
+    rows = child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"), F.date_format(F.col(received), "yyyy-MM").alias("period"))
+    part = rows.join(found.where("kind = 'part'").select("k", "period", "live_from"), ["k", "period"]).where(F.col("live_from") > F.col("__at"))
+    split = part.groupBy("k", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("late"))
+    # each key stands once in a period and kind
+    return whole.unionByName(split).groupBy("period", "kind").agg(F.sum("n").alias("n_rows"), F.count("k").alias("n_keys"))

@@ -1,8 +1,8 @@
 """Problem 3: column-level quality profile of loads, and departures between consecutive loads.
 
-Numeric columns are described by mergeable exact power sums (count, sum, sum of squares as decimals), categorical
-ones by grouped distinct values; both combine on the map side, so a load that holds a third of all rows costs one
-partial row per task and value. All comparisons of findings are made on integers by cross-multiplication, so a
+Numeric columns are described by mergeable exact power sums (count, sum, sum of squares as decimals) and by the
+standardised difference of their means between loads, categorical ones by grouped distinct values; both combine on the
+map side, so a load that holds a third of all rows costs one partial row per task and value. All comparisons of findings are made on integers by cross-multiplication, so a
 share that equals a threshold exactly is never a finding.
 
 Defined results: null and blank are missing; a load without rows does not exist; the first load and loads whose
@@ -55,6 +55,27 @@ def power_sums(df: DataFrame, col: str, lo: int, hi: int, load: str = "load_no")
     )
 
 
+def squares(n: Column, s1: Column, s2: Column) -> Column:
+    """Sum of squared deviations from the mean, exact up to its last step; null where it leaves 38 digits."""
+    n, s1, s2 = (c.cast(BIG) for c in (n, s1, s2))
+    return F.try_divide(F.try_subtract(F.try_multiply(n, s2).cast(BIG), F.try_multiply(s1, s1).cast(BIG)).cast("double"), n.cast("double"))
+
+
+def deviation(n: Column, around: Column) -> Column:
+    """Standard deviation of n values from the sum of their squared deviations; null for fewer than two."""
+    return F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), around) / (n.cast("double") - 1)))
+
+
+def pooled_deviation(sd: Column, p_sd: Column) -> Column:
+    return F.sqrt((sd * sd + p_sd * p_sd) / 2)
+
+
+def standardised_difference(mean: Column, sd: Column, p_mean: Column, p_sd: Column) -> Column:
+    """Difference of the means of two loads in units of their pooled deviation; null where there is no spread."""
+    pooled = pooled_deviation(sd, p_sd)
+    return F.when(pooled > 0, (mean - p_mean) / pooled)
+
+
 def value_counts(df: DataFrame, col: str, load: str = "load_no") -> DataFrame:
     """Per load and value as written: rows; missing values are one group with a null value."""
     return df.where(F.col(load).isNotNull()).groupBy(F.col(load).alias("load_no"), filled(F.col(col)).alias("value")).agg(F.count(F.lit(1)).cast(BIG).alias("c"))
@@ -74,12 +95,17 @@ def numeric_findings(df: DataFrame, e: Expectation) -> DataFrame:
     """(tab, col, load_no, finding) of a numeric column: nulls, range, shift."""
     w = Window.orderBy("load_no")  # one row per load: the number of loads bounds it, not the data
     s = power_sums(df, e.col, e.lo, e.hi)
-    s = s.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("n", "missing", "inside", "s1")])
-    i, pi, s1, p1 = (F.col(c) for c in ("inside", "p_inside", "s1", "p_s1"))
+    i, s1 = F.col("inside"), F.col("s1")
+    s = s.withColumn("mean", F.try_divide(s1.cast("double"), i.cast("double"))).withColumn("sd", deviation(i, squares(i, s1, F.col("s2"))))
+    s = s.select("*", *[F.lag(c).over(w).alias(f"p_{c}") for c in ("n", "missing", "inside", "s1", "mean", "sd")])
+    pi, p1 = F.col("p_inside"), F.col("p_s1")
+    # the standardised difference finds the shifts; what is decided at its rounding, or has no spread, is decided exactly
+    d = standardised_difference(F.col("mean"), F.col("sd"), F.col("p_mean"), F.col("p_sd"))
+    far = F.coalesce(F.abs(d) * pooled_deviation(F.col("sd"), F.col("p_sd")) > e.mean_shift - 1e-6, F.lit(True))
     return _labelled(s, e, {
         "nulls": _rise(e),
         "range": F.col("outside") * 100 > (F.col("inside") + F.col("outside")) * e.range_share,
-        "shift": (i > 0) & (pi > 0) & (F.abs(s1 * pi - p1 * i) > i * pi * e.mean_shift),
+        "shift": (i > 0) & (pi > 0) & far & (F.abs(s1 * pi - p1 * i) > i * pi * e.mean_shift),
     })
 
 
@@ -126,14 +152,12 @@ def findings(tables: dict[str, DataFrame], expectations: list[Expectation]) -> D
     return out
 
 
-def _share_changes(df: DataFrame, cols: list[str], load: str) -> DataFrame:
+def _share_changes(counts: DataFrame) -> DataFrame:
     """(col, load_no, share_diff): half the sum over the values of the differences of their shares to the load before.
 
-    As in categorical_findings, but of all columns at once: each count goes to its own load and to the next one. Null
-    where one of the two loads has no filled value.
+    As in categorical_findings, but of all columns at once: counts (col, load_no, value, c) go to their own load and to the
+    next one. Null where one of the two loads has no filled value.
     """
-    cells = F.array(*[F.struct(F.lit(c).alias("col"), filled(F.col(f"`{c}`")).alias("value")) for c in cols]) if cols else F.array().cast("array<struct<col:string,value:string>>")
-    counts = df.where(F.col(load).isNotNull()).select(F.col(load).alias("load_no"), F.inline(cells)).groupBy("col", "load_no", "value").agg(F.count(F.lit(1)).cast(BIG).alias("c"))
     w, c, zero = Window.partitionBy("col").orderBy("load_no"), F.col("c"), F.lit(0).cast(BIG)
     totals = counts.groupBy("col", "load_no").agg(F.coalesce(F.sum(F.when(F.col("value").isNotNull(), c)), zero).cast(BIG).alias("f"))
     t = totals.select("*", F.lag("f").over(w).alias("pf"), F.lead("load_no").over(w).alias("next"))
@@ -181,17 +205,18 @@ def profile(df: DataFrame, tab: str, patterns: dict[str, str] | None = None, loa
         *[F.when(F.count(v) == F.count(z), F.try_sum(v)).alias(name) for name, v in sums.items()],
     )
     n = F.col("__n")
-    exact = F.try_subtract(F.try_multiply(n.cast(BIG), F.col("__e2").cast(BIG)), F.try_multiply(F.col("__e1").cast(BIG), F.col("__e1").cast(BIG))).cast("double") / n
     agg = agg.withColumn("mean", F.coalesce(F.col("__e1").cast("double"), F.col("__s1")) / n)
-    squares = F.coalesce(exact, F.col("__s2") - n * F.col("mean") * F.col("mean"))
-    agg = agg.withColumn("sd", F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), squares) / (n - 1))))
-    agg = agg.join(_share_changes(df, [c for c in cols if c not in numeric], load), ["col", "load_no"], "left")
+    around = F.coalesce(squares(n, F.col("__e1"), F.col("__e2")), F.col("__s2") - n * F.col("mean") * F.col("mean"))
+    agg = agg.withColumn("sd", deviation(n, around))
+    # the same groups, aggregated once and reused
+    shares = _share_changes(groups.where(~F.col("col").isin(*numeric)) if numeric else groups)
+    agg = agg.join(shares, ["col", "load_no"], "left")
     w = Window.partitionBy("col").orderBy("load_no")
-    pooled = F.sqrt((F.col("sd") * F.col("sd") + F.lag("sd").over(w) * F.lag("sd").over(w)) / 2)
+    std_diff = standardised_difference(F.col("mean"), F.col("sd"), F.lag("mean").over(w), F.lag("sd").over(w))
     text = F.when(F.col("__n").isNull(), F.col("min_text")), F.when(F.col("__n").isNull(), F.col("max_text"))
     return agg.select(
         F.lit(tab).alias("tab"), "col", "load_no", "n_rows", "n_missing", "n_distinct", text[0].alias("min_text"), text[1].alias("max_text"), "min_num", "max_num",
         "n_violations", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd"),
-        F.round(F.when(pooled > 0, (F.col("mean") - F.lag("mean").over(w)) / pooled), 6).alias("std_diff"),
+        F.round(std_diff, 6).alias("std_diff"),
         F.round("share_diff", 6).alias("share_diff"),
     )

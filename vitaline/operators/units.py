@@ -4,17 +4,20 @@ A multi-pattern automaton (Aho-Corasick) finds unit aliases in the result text;
 word boundary wins, and the test a row belongs to decides which unit an alias means (M is metres for a height,
 "bpm" beats for a pulse and breaths for a respiratory rate). The Python stage only splits a text into numbers and
 units, in Arrow batches with a bounded memo, as texts repeat; the conversion factors are a small table joined
-afterwards, and the arithmetic is exact decimal arithmetic in the JVM. Nothing is shuffled.
+afterwards, and the arithmetic is exact decimal arithmetic in the JVM. Nothing is shuffled (the registered queries spread
+inputs of fewer partitions than the cluster has cores).
 
 Defined results: a result without a number is no measurement (nulls, blanks, "not done"); an unknown unit text is
 no unit; a result without unit gets the standard unit if its range holds the value, else the one unit whose range
-does, else none; a comma is the decimal sign; repeated rows each give a row; an empty table gives an empty table.
+does, else none; a comma is the decimal sign; repeated rows each give a row; an empty table gives an empty table;
+a unit's range without lo or hi is open at that end.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -173,7 +176,9 @@ def standardise(df: DataFrame, units: DataFrame, test: str = "vstestcd", text: s
     in_std, fits = F.lit(None).cast("string"), F.array().cast("array<string>")
     std = F.lit(None).cast("string")
     for tt, u, is_std, lo, hi in sorted(listed, key=lambda r: (r[0], r[1])):
-        hold = (t == tt) & x.between(F.lit(str(lo)).cast("decimal(20,8)"), F.lit(str(hi)).cast("decimal(20,8)"))
+        # a range without one of its ends is open there; one without both holds nothing
+        ends = [x >= F.lit(str(lo)).cast("decimal(20,8)")] * (lo is not None) + [x <= F.lit(str(hi)).cast("decimal(20,8)")] * (hi is not None)
+        hold = reduce(Column.__and__, ends, t == tt) if ends else F.lit(False)
         if is_std:
             in_std = F.when(hold, F.lit(u)).otherwise(in_std)
             std = F.when(t == tt, F.lit(u)).otherwise(std)
