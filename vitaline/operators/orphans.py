@@ -33,16 +33,21 @@ def parent_state(parent: DataFrame, key: str, deleted: str = "deleted_at", recei
     return parent.select(key_norm(F.col(key)).alias("k"), live.alias("__live")).where(F.col("k").isNotNull()).groupBy("k").agg(F.min("__live").alias("live_from"), F.lit(True).alias("found"))
 
 
+def _rows(child: DataFrame, key: str, received: str, *more: Column) -> DataFrame:
+    return child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"), F.date_format(F.col(received), "yyyy-MM").alias("period"), *more)
+
+
 def references(child: DataFrame, key: str, received: str = "received_at") -> DataFrame:
-    """(k, period, n, first_at, last_at): the references of the child, one row per key and period."""
-    rows = child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"))
-    return rows.groupBy("k", F.date_format("__at", "yyyy-MM").alias("period")).agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first_at"), F.max("__at").alias("last_at"))
+    """(k, period, n, first_at, last_at): the references of the child, one row per key and period; null keys refer to nothing."""
+    rows = _rows(child, key, received).where(F.col("k").isNotNull())
+    return rows.groupBy("k", "period").agg(F.count(F.lit(1)).alias("n"), F.min("__at").alias("first_at"), F.max("__at").alias("last_at"))
 
 
-def heavy_keys(refs: DataFrame, share: float = SHARE) -> DataFrame:
-    """(k) of the keys with more than `share` of all references; at most 1 / share of them, so they may be broadcast."""
-    total = refs.agg(F.sum("n").alias("t")).scalar()
-    return refs.where(F.col("k").isNotNull()).groupBy("k").agg(F.sum("n").alias("c")).where(F.col("c") > total * share).select("k")
+def heavy_keys(child: DataFrame, key: str, share: float = SHARE) -> DataFrame:
+    """(k) of the keys with more than `share` of all rows; at most 1 / share of them, so they may be broadcast."""
+    keys = child.select(key_norm(F.col(key)).alias("k"))
+    total = keys.agg(F.count(F.lit(1)).alias("t")).scalar()
+    return keys.where(F.col("k").isNotNull()).groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > total * share).select("k")
 
 
 def _kind(first: Column, last: Column) -> Column:
@@ -51,41 +56,53 @@ def _kind(first: Column, last: Column) -> Column:
     return F.when(F.col("found").isNull(), "missing").when(live.isNull(), "deleted").when(live > last, F.when(live > first, "late")).when(live > first, "part")
 
 
-def orphan_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at", share: float = SHARE) -> DataFrame:
-    """(k, period, n, kind, live_from, heavy) of every key and period with a reference that does not hold.
+def orphan_keys(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at", share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+    """Heavy and other keys with a reference that does not hold: two frames (k, period, n, kind, live_from).
 
-    kind is missing, deleted, late, or part where only the references before live_from are late.
+    kind is missing, deleted, late, or part where only the references before live_from are late. The first holds every
+    heavy key, with a null kind in periods where all is well.
     """
-    refs, state = references(child, key, received), parent_state(parent, parent_key or key)
-    heavy = F.broadcast(heavy_keys(refs, share))
-    hot = refs.join(heavy, "k", "left_semi").join(F.broadcast(state.join(heavy, "k", "left_semi")), "k", "left").withColumn("heavy", F.lit(True))
-    none = refs.where(F.col("k").isNull()).select("*", F.lit(None).cast(state.schema["live_from"].dataType).alias("live_from"), F.lit(None).cast("boolean").alias("found"), F.lit(False).alias("heavy"))
-    cold = refs.where(F.col("k").isNotNull()).join(heavy, "k", "left_anti").join(state, "k", "left").withColumn("heavy", F.lit(False))
-    both = hot.unionByName(cold).unionByName(none).withColumn("kind", _kind(F.col("first_at"), F.col("last_at")))
-    return both.where(F.col("kind").isNotNull()).select("k", "period", "n", "kind", "live_from", "heavy")
+    state, heavy = parent_state(parent, parent_key or key), heavy_keys(child, key, share)
+    checked = heavy.join(state, "k", "left").select("k", F.lit(True).alias("heavy"), "live_from", "found")
+    # both halves read the same pre-aggregated references; a left join keeps that one exchange, where a semi join would be
+    # moved below it
+    marked = references(child, key, received).join(F.broadcast(checked), "k", "left")
+    kind = _kind(F.col("first_at"), F.col("last_at"))
+    hot = marked.where("heavy").select("k", "period", "n", kind.alias("kind"), "live_from")
+    cold = marked.where("heavy is null").select("k", "period", "n", "first_at", "last_at").join(state, "k", "left")
+    return hot, cold.select("k", "period", "n", kind.alias("kind"), "live_from").where(F.col("kind").isNotNull())
 
 
 def orphan_rows(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, rec_id: str = "rec_id", received: str = "received_at", share: float = SHARE) -> DataFrame:
     """(rec_id, period, kind) of every child row whose reference does not hold when the row arrives."""
-    found = orphan_keys(child, parent, key, parent_key, received, share)
-    rows = child.select(F.col(rec_id).alias("rec_id"), F.col(received).alias("__at"), key_norm(F.col(key)).alias("k"), F.date_format(F.col(received), "yyyy-MM").alias("period"))
-    none = rows.where(F.col("k").isNull()).select("rec_id", "period", F.lit("missing").alias("kind"))
-    keys = found.where(F.col("k").isNotNull()).select(F.col("k").alias("__k"), F.col("period").alias("__p"), "kind", "live_from", "heavy")
-    same = (F.col("k") == F.col("__k")) & F.col("period").eqNullSafe(F.col("__p"))
-    # the periods of a heavy key are months, so these are few rows too
-    hot = rows.join(F.broadcast(keys.where("heavy")), same)
-    cold = rows.where(F.col("k").isNotNull()).join(F.broadcast(heavy_keys(references(child, key, received), share)), "k", "left_anti").join(keys.where("not heavy"), same)
-    late = F.col("kind").isin("missing", "deleted") | (F.col("live_from") > F.col("__at"))
-    return hot.unionByName(cold).where(late).select("rec_id", "period", F.regexp_replace("kind", "^part$", "late").alias("kind")).unionByName(none)
+    hot, cold = orphan_keys(child, parent, key, parent_key, received, share)
+    rows = _rows(child, key, received, F.col(rec_id).alias("rec_id"))
+
+    def late(kind: Column, live: Column) -> Column:
+        return F.when(kind.isin("missing", "deleted"), kind).when(live > F.col("__at"), "late")
+
+    # one row per heavy key, with its periods (months), so this side is as bounded as the keys are
+    cell = F.struct(F.coalesce("period", F.lit("")).alias("p"), F.struct("kind", "live_from").alias("v"))
+    periods = hot.groupBy(F.col("k").alias("__k")).agg(F.map_from_entries(F.collect_list(cell)).alias("__m"))
+    marked = rows.join(F.broadcast(periods), F.col("k") == F.col("__k"), "left")
+    v = F.col("__m")[F.coalesce("period", F.lit(""))]
+    direct = marked.where(F.col("k").isNull() | F.col("__k").isNotNull())
+    direct = direct.select("rec_id", "period", F.when(F.col("k").isNull(), "missing").otherwise(late(v["kind"], v["live_from"])).alias("kind"))
+    other = cold.select(F.col("k").alias("__c"), F.col("period").alias("__p"), "kind", "live_from")
+    rest = marked.where(F.col("k").isNotNull() & F.col("__k").isNull()).select("rec_id", "k", "period", "__at")
+    rest = rest.join(other, (F.col("k") == F.col("__c")) & F.col("period").eqNullSafe(F.col("__p"))).select("rec_id", "period", late(F.col("kind"), F.col("live_from")).alias("kind"))
+    return direct.unionByName(rest).where(F.col("kind").isNotNull())
 
 
 def orphan_report(child: DataFrame, parent: DataFrame, key: str, parent_key: str | None = None, received: str = "received_at", share: float = SHARE) -> DataFrame:
-    """(period, kind, n_rows, n_keys): the orphan counts of orphan_keys; only where a parent arrives within a period are
-    that key's rows of the period counted one by one."""
-    found = orphan_keys(child, parent, key, parent_key, received, share)
-    whole = found.where("kind <> 'part'").select("k", "period", "n", "kind")
-    rows = child.select(key_norm(F.col(key)).alias("k"), F.col(received).alias("__at"), F.date_format(F.col(received), "yyyy-MM").alias("period"))
+    """(period, kind, n_rows, n_keys): the orphan counts of both halves united; only where a parent arrives within a
+    period are that key's rows of the period counted one by one."""
+    hot, cold = orphan_keys(child, parent, key, parent_key, received, share)
+    found = hot.where("kind is not null").unionByName(cold)
+    rows = _rows(child, key, received)
+    none = rows.where(F.col("k").isNull()).groupBy("k", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("missing"))
     part = rows.join(found.where("kind = 'part'").select("k", "period", "live_from"), ["k", "period"]).where(F.col("live_from") > F.col("__at"))
     split = part.groupBy("k", "period").agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("late"))
     # each key stands once in a period and kind
-    return whole.unionByName(split).groupBy("period", "kind").agg(F.sum("n").alias("n_rows"), F.count("k").alias("n_keys"))
+    whole = found.where("kind <> 'part'").select("k", "period", "n", "kind")
+    return whole.unionByName(split).unionByName(none).groupBy("period", "kind").agg(F.sum("n").alias("n_rows"), F.count("k").alias("n_keys"))
