@@ -36,6 +36,37 @@ def test_missing_source_and_empty(spark):
     assert mixing.mix(df.limit(0), [Target("a", 1.0, 1)]).collect() == []
 
 
+def test_texts_of_several_sources_are_one_document(spark):
+    rows = [(1, "a", 10, "x"), (2, "b", 10, "x"), (3, "b", 10, "x"), (4, "a", 7, "y"), (5, "a", 7, "y"), (6, None, 7, "y"), (7, "b", 0, "z"), (8, "c", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_tokens long, text_key string")
+    got = {r.doc_id: (r.n_tokens, r.sources, r.ids) for r in mixing.by_text(df).collect()}
+    assert got == {1: (10, ["a", "b"], {"a": 1, "b": 2}), 4: (7, ["a"], {"a": 4}), 8: (3, ["c"], {"c": 8})}
+    docs = [(i, "ab"[i % 2], 10, f"t{i // 2}") for i in range(400)] + [(1000 + i, "a", 10, f"u{i}") for i in range(100)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long, text_key string")
+    targets = [Target("a", 0.5, 1), Target("b", 0.5, 1)]
+    out = mixing.mix(mixing.by_text(df), targets).collect()
+    key = {d: k for d, _, _, k in docs}
+    uses = {}
+    for r in out:
+        assert dict((d, s) for d, s, *_ in docs)[r.doc_id] == r.source
+        uses[key[r.doc_id]] = uses.get(key[r.doc_id], 0) + r.uses
+    # a text in the middle of the line may be cut by the border of two sources, all others are used once
+    assert sum(n > 1 for n in uses.values()) <= 1 and sum(r.n_tokens * r.uses for r in out) >= 2980
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")]), st.integers(1, 60)), min_size=1, max_size=5, unique_by=lambda x: x[0]), st.tuples(*[st.integers(1, 3)] * 3))
+def test_largest_total_against_trying_all(patterns, repeats):
+    targets = [Target("a", 0.5, repeats[0]), Target("b", 0.25, repeats[1]), Target("c", 0.25, repeats[2])]
+
+    def met(total):
+        return mixing.route(patterns, targets, total)[1] == sum(int(t.share * total) for t in targets)
+
+    got = mixing.largest_total(patterns, targets)
+    assert met(got)
+    assert not any(met(total) for total in range(got + 12, sum(n for _, n in patterns) * 3 + 12))
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from([("a",), ("b",), ("a", "b")]), st.integers(1, 6)), min_size=1, max_size=3, unique_by=lambda x: x[0]), st.integers(1, 12))
 def test_flow_is_largest_and_cheapest(patterns, total):

@@ -23,7 +23,7 @@ def test_patterns_hold_the_histogram(h):
 def test_packs_are_within_capacity_and_whole(spark):
     rows = [(i, n) for i, n in enumerate([0, 1, 3, 3, 3, 10, 11, 25, 7, 7, 2, 10, 1, 1, 1, 5] + [4] * 400)]
     sized = spark.createDataFrame(rows, "doc_id long, n_tokens long")
-    out = packing.pack(sized, [(1, 10), (2, 16)], buckets=7).collect()
+    out = packing.pack(sized, [(1, 10), (2, 16)], buckets=7, block=16).collect()
     for pid, cap in ((1, 10), (2, 16)):
         mine = [r for r in out if r.pack_id == pid]
         total, packs, parts = Counter(), Counter(), Counter()

@@ -4,7 +4,8 @@ Only the histogram of lengths reaches the driver (at most one row per length up
 Shortest-pack-first places the lengths longest first, each into the open packs with the most free space, and keeps
 counts of packing patterns instead of packs. The patterns give every length ranges of ranks, and a document finds
 its pack by its rank among the documents of its length. Ranks are taken in hash buckets with offsets from bucket
-counts, so a length that a third of all documents share is ranked by many tasks.
+counts, as many as the largest count needs, so a length that a third of all documents share is ranked by many tasks;
+ranks and ranges meet by an equi-join on blocks of ranks.
 
 Defined results: a text longer than the capacity is cut into full packs and one remainder that is packed like any
 other item; no other text is cut; texts without tokens are listed with a null pack; repeated rows are items of
@@ -19,7 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+#: rows of one length that one task ranks at most, and buckets at least
+BUCKET_ROWS, BUCKETS = 1_000_000, 64
+#: ranks per block; a document is compared only with the ranges that lie in its block
+BLOCK = 4096
 
 
 @dataclass
@@ -77,7 +81,7 @@ def rank_ranges(patterns: list[Pattern]) -> list[tuple[int, int, int, int, int]]
     return out
 
 
-def ranked(items: DataFrame, group: list[str], order: list[str], buckets: int = BUCKETS) -> DataFrame:
+def ranked(items: DataFrame, group: list[str], order: list[str], buckets: int) -> DataFrame:
     """Append rank (0-based) of each row among the rows of its group, without one task per group."""
     b = items.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     counts = b.groupBy(*group, "__b").agg(F.count(F.lit(1)).alias("__c"))
@@ -97,7 +101,7 @@ def items_of(sized: DataFrame, capacities: list[tuple[int, int]]) -> DataFrame:
     return parts.select("pack_id", "doc_id", "part", F.least(cap, n - F.col("part") * cap).cast("long").alias("n_tokens"))
 
 
-def pack(sized: DataFrame, capacities: list[tuple[int, int]], buckets: int = BUCKETS) -> DataFrame:
+def pack(sized: DataFrame, capacities: list[tuple[int, int]], buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """(pack_id, doc_id, part, n_tokens, pack_no): sized has doc_id and n_tokens, capacities are (pack_id, tokens).
 
     sized is read twice; give a materialised table. pack_no numbers the packs of one pack_id from 0.
@@ -112,10 +116,12 @@ def pack(sized: DataFrame, capacities: list[tuple[int, int]], buckets: int = BUC
     ranges = [(i, *r) for i, cap in capacities for r in rank_ranges(shortest_pack_first(histograms[i], cap))]
     spark = sized.sparkSession
     table = spark.createDataFrame(ranges, "pack_id int, n_tokens long, start long, end long, first long, times long")
-    table = table.groupBy("pack_id", "n_tokens").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first", "times"))).alias("__ranges"))
-    placed = ranked(filled, ["pack_id", "n_tokens"], ["doc_id", "part"], buckets).join(table, ["pack_id", "n_tokens"])
-    mine = F.get(F.filter("__ranges", lambda r: (r["start"] <= F.col("rank")) & (F.col("rank") < r["end"])), F.lit(0))
-    placed = placed.withColumn("__r", mine).select("pack_id", "doc_id", "part", "n_tokens", (F.col("__r.first") + F.floor((F.col("rank") - F.col("__r.start")) / F.col("__r.times"))).cast("long").alias("pack_no"))
+    blocks = F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)))
+    table = table.select("*", blocks.alias("__block"))
+    buckets = buckets or max(BUCKETS, -(-max((n for h in histograms.values() for n in h.values()), default=0) // BUCKET_ROWS))
+    placed = ranked(filled, ["pack_id", "n_tokens"], ["doc_id", "part"], buckets).withColumn("__block", F.floor(F.col("rank") / block))
+    placed = placed.join(table, ["pack_id", "n_tokens", "__block"]).where((F.col("start") <= F.col("rank")) & (F.col("rank") < F.col("end")))
+    placed = placed.select("pack_id", "doc_id", "part", "n_tokens", (F.col("first") + F.floor((F.col("rank") - F.col("start")) / F.col("times"))).cast("long").alias("pack_no"))
     return placed.unionByName(items.where(F.col("n_tokens") <= 0).select("pack_id", "doc_id", "part", "n_tokens", F.lit(None).cast("long").alias("pack_no")))
 
 

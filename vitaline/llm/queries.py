@@ -23,9 +23,9 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _sizes(spark: SparkSession, d: str) -> DataFrame:
-    """(doc_id, source, n_tokens), tokenised once and kept in the shared folder."""
+    """(doc_id, source, text_key, n_tokens), tokenised once and kept in the shared folder."""
     docs = tokens.with_token_counts(spread(table(spark, d, "documents").select("doc_id", "source", "text")))
-    return cut_lineage(docs.select("doc_id", "source", "n_tokens"))
+    return cut_lineage(docs.select("doc_id", "source", F.sha2("text", 256).alias("text_key"), "n_tokens"))
 
 
 def _bounded(df: DataFrame, limit: int = 1000) -> list:
@@ -52,8 +52,8 @@ def _targets(spark: SparkSession, d: str) -> list[mixing.Target]:
 
 
 def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
-    sized = _sizes(spark, d).select("doc_id", "n_tokens", F.array("source").alias("sources"))
-    return mixing.mix(sized, _targets(spark, d))
+    """Sources overlap in the texts sent to several of them."""
+    return mixing.mix(mixing.by_text(_sizes(spark, d)), _targets(spark, d))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
