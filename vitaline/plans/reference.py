@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitaline import registry as R
 from vitaline.functions import cols as C
-from vitaline.operators import adam, checks, graph, sdtm, text, tfl
+from vitaline.operators import adam, checks, graph, rulepacks, sdtm, text, tfl
 from vitaline.plans import fixtures as X
 from vitaline.session import spread, table
 
@@ -560,14 +560,117 @@ def check_completeness_trend(spark: SparkSession, d: str) -> DataFrame:
     return g.select("load_no", "cells", "filled", F.round(score, 6).alias("score"), F.round(score - F.lag(score).over(w), 6).alias("change"))
 
 
-@query(f"""WITH {ADSL} SELECT 'ADSL001' AS rule_id, usubjid FROM asl GROUP BY usubjid HAVING count(*) > 1 UNION ALL SELECT 'ADSL002', usubjid FROM asl WHERE saffl = 'Y' AND trtsdt IS NULL
-  UNION ALL SELECT 'ADSL003', usubjid FROM asl WHERE trtedt < trtsdt UNION ALL SELECT 'ADSL004', usubjid FROM asl WHERE compltfl = 'Y' AND disconfl = 'Y' UNION ALL SELECT 'ADSL005', usubjid FROM asl WHERE disconfl = 'Y' AND dctreasn IS NULL""")
-def check_adsl_rules(spark: SparkSession, d: str) -> DataFrame:
-    s = X.subjects(spark, d)
-    c = F.col
-    rules = {"ADSL002": (c("saffl") == "Y") & c("trtsdt").isNull(), "ADSL003": c("trtedt") < c("trtsdt"), "ADSL004": (c("compltfl") == "Y") & (c("disconfl") == "Y"), "ADSL005": (c("disconfl") == "Y") & c("dctreasn").isNull()}
-    hits = s.select(F.explode(F.array_compact(F.array(*[F.when(v, k) for k, v in rules.items()]))).alias("rule_id"), "usubjid")
-    return hits.unionByName(s.groupBy("usubjid").count().where("count > 1").select(F.lit("ADSL001").alias("rule_id"), "usubjid"))
+_LAST = "SELECT upper(trim(usubjid)) AS k, * EXCLUDE (usubjid) FROM {t} WHERE trim(usubjid) <> '' QUALIFY row_number() OVER (PARTITION BY upper(trim(usubjid)) ORDER BY received_at DESC NULLS LAST, rec_id DESC) = 1"
+_ISO_D = "CASE WHEN regexp_matches(replace(trim({c}),'/','-'), '^\\d{{4}}-\\d{{2}}-\\d{{2}}([T ].*)?$') THEN try_cast(substr(replace(trim({c}),'/','-'),1,10) AS DATE) END"
+_NE = "(trim({0}) <> '' AND trim({1}) <> '' AND trim({0}) <> trim({1}))"
+
+
+def _n(rule: str, severity: str, dataset: str, rest: str) -> str:
+    return f"SELECT '{rule}' AS rule_id, '{severity}' AS severity, '{dataset}' AS dataset, count(*) AS n FROM {rest} HAVING count(*) > 0"
+
+
+def _summed(parts) -> DataFrame:
+    return checks.union(parts).groupBy("rule_id", "severity", "dataset").agg(F.count(F.lit(1)).alias("n"))
+
+
+_SL = "sl AS (" + _LAST.format(t="adsl") + ")"
+_DOSED = "dosed AS (SELECT DISTINCT upper(trim(usubjid)) AS k FROM ex WHERE exdose > 0 AND trim(usubjid) <> '')"
+_DUP = "(SELECT upper(trim(usubjid)) AS k FROM adsl WHERE trim(usubjid) <> '' GROUP BY 1 HAVING count(*) > 1)"
+
+
+@query(f"WITH {_DOSED}, " + "s AS (SELECT a.*, CASE WHEN d.k IS NULL THEN 'N' ELSE 'Y' END AS safe FROM adsl a LEFT JOIN dosed d ON upper(trim(a.usubjid)) = d.k) " + " UNION ALL ".join([
+    _n("ADSL001", "ERROR", "ADSL", _DUP), _n("ADSL010", "ERROR", "ADSL", _DUP), _n("ADSL002", "ERROR", "ADSL", "(SELECT DISTINCT upper(trim(usubjid)) AS k FROM dm WHERE trim(usubjid) <> '') d WHERE k NOT IN (SELECT upper(trim(usubjid)) FROM adsl WHERE usubjid IS NOT NULL)"),
+    _n("ADSL003", "ERROR", "ADSL", "s WHERE saffl IN ('Y','N') AND saffl <> safe"), _n("ADSL004", "ERROR", "ADSL", "s WHERE ittfl IN ('Y','N') AND ittfl <> CASE WHEN trim(armcd) <> '' AND armcd <> 'SCRNFAIL' THEN 'Y' ELSE 'N' END"),
+    _n("ADSL005", "ERROR", "ADSL", "s WHERE trim(arm) <> '' AND nullif(trim(trt01p),'') IS DISTINCT FROM trim(arm)"), _n("ADSL006", "WARNING", "ADSL", "s WHERE coalesce(nullif(trim(actarm),''), nullif(trim(arm),'')) IS NOT NULL AND nullif(trim(trt01a),'') IS DISTINCT FROM coalesce(nullif(trim(actarm),''), nullif(trim(arm),''))"),
+    _n("ADSL007", "ERROR", "ADSL", f"s WHERE {_ISO_D.format(c='trtsdt')} > {_ISO_D.format(c='trtedt')}"), _n("ADSL008", "ERROR", "ADSL", "s WHERE " + " OR ".join(f"(trim({c}) <> '' AND {c} NOT IN ('Y','N'))" for c in ("saffl", "ittfl", "pprotfl", "efffl"))),
+    _n("ADSL009", "ERROR", "ADSL", "s WHERE " + " OR ".join(f"coalesce(trim({c}), '') = ''" for c in ("studyid", "usubjid", "trt01p", "saffl"))),
+]))
+def check_adsl_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(rulepacks.adsl_pack(*[table(spark, d, t) for t in ("adsl", "dm", "ex")]))
+
+
+_EM = f"CASE WHEN {_ISO_D.format(c='a.astdt')} IS NULL OR {_ISO_D.format(c='s.trtsdt')} IS NULL THEN NULL WHEN {_ISO_D.format(c='a.astdt')} >= {_ISO_D.format(c='s.trtsdt')} AND ({_ISO_D.format(c='s.trtedt')} IS NULL OR {_ISO_D.format(c='a.astdt')} <= {_ISO_D.format(c='s.trtedt')} + 30) THEN 'Y' ELSE 'N' END"
+_AE_OUT = "(SELECT DISTINCT upper(trim(usubjid)) AS k FROM {t} WHERE trim(usubjid) <> '') x WHERE k NOT IN (SELECT k FROM sl)"
+
+
+@query(f"WITH {_SL} " + " UNION ALL ".join([
+    _n("ADAE001", "ERROR", "ADAE", _AE_OUT.format(t="adae")), _n("ADAE006", "ERROR", "ADAE", _AE_OUT.format(t="adae")), _n("ADAE004", "ERROR", "ADAE", "adae WHERE coalesce(trim(aedecod), '') = ''"), _n("ADAE005", "ERROR", "ADAE", "adae WHERE coalesce(trim(aebodsys), '') = ''"),
+    _n("ADAE002", "ERROR", "ADAE", f"adae a JOIN sl s ON upper(trim(a.usubjid)) = s.k WHERE a.trtemfl IN ('Y','N') AND s.saffl = 'Y' AND a.trtemfl <> {_EM}"),
+    _n("ADAE003", "ERROR", "ADAE", f"adae a JOIN sl s ON upper(trim(a.usubjid)) = s.k WHERE a.trtemfl = 'Y' AND {_ISO_D.format(c='a.astdt')} < {_ISO_D.format(c='s.trtsdt')}"),
+]))
+def check_adae_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(rulepacks.adae_pack(table(spark, d, "adae"), table(spark, d, "adsl")))
+
+
+@query(f"WITH {_SL}, z AS (SELECT (SELECT count(*) FROM sl) AS n, (SELECT count(DISTINCT upper(trim(usubjid))) FROM dm WHERE trim(usubjid) <> '') AS m) " + " UNION ALL ".join([_n("X001", "ERROR", "ADSL", "z WHERE n <> m")] + [
+    p for t in ("adae", "adtte") for p in (
+        _n("X002", "ERROR", t.upper(), _AE_OUT.format(t=t)), _n("X003", "ERROR", t.upper(), f"{t} a JOIN sl s ON upper(trim(a.usubjid)) = s.k WHERE {_NE.format('a.trtp', 's.trt01p')}"),
+        _n("X004", "ERROR", t.upper(), f"{t} a JOIN sl s ON upper(trim(a.usubjid)) = s.k WHERE {_NE.format('a.saffl', 's.saffl')} OR {_NE.format('a.ittfl', 's.ittfl')}"),
+    )
+]))
+def check_cross_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _summed(rulepacks.cross_pack(table(spark, d, "adsl"), table(spark, d, "dm"), {t.upper(): table(spark, d, t) for t in ("adae", "adtte")}))
+
+
+@query(f"""WITH {BDS}, {_SL}, b AS (SELECT b.*, nullif(trim(v.vsorres),'') AS avalc, s.saffl AS saffl, s.trt01p AS trtp, upper(trim(b.usubjid)) AS k FROM bds b JOIN vs v ON b.rec_id = v.rec_id LEFT JOIN sl s ON upper(trim(b.usubjid)) = s.k) """ + " UNION ALL ".join([
+    _n("BDS001", "ERROR", "BDS", "(SELECT k, paramcd, adt FROM b WHERE k <> '' AND paramcd IS NOT NULL AND adt IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1)"),
+    _n("BDS002", "ERROR", "BDS", "b WHERE regexp_matches(avalc, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') AND abs(CAST(avalc AS DOUBLE) - aval) > 1e-6"), _n("BDS006", "ERROR", "BDS", "(SELECT DISTINCT k FROM b WHERE k <> '') WHERE k NOT IN (SELECT k FROM sl)"),
+]))
+def check_bds_pack(spark: SparkSession, d: str) -> DataFrame:
+    """Rules of the findings dataset; texts of results that were not converted differ from their value (BDS002)."""
+    adsl = table(spark, d, "adsl")
+    s = rulepacks.latest(adsl, ["saffl", F.col("trt01p").alias("trtp")])
+    raw = table(spark, d, "vs").select("rec_id", C.clean(F.col("vsorres")).alias("avalc"))
+    b = rulepacks.keyed(_bds(spark, d)).join(raw, "rec_id").join(s, "k", "left").drop("k")
+    return _summed(rulepacks.bds_pack(b, adsl))
+
+
+_OK = "regexp_matches(trim({c}), '^\\d{{4}}(-\\d{{2}}(-\\d{{2}}([T ].*)?)?)?$')"
+
+
+def _pair(name: str, dataset: str, a: str, b: str, rest: str) -> str:
+    n = f"least(length(trim({a})), length(trim({b})), 10)"
+    p, q = f"substr(trim({a}), 1, {n})", f"substr(trim({b}), 1, {n})"
+    both = f"{_OK.format(c=a)} AND {_OK.format(c=b)}"
+    return (f"SELECT '{name}' AS pair, '{dataset}' AS dataset, CASE WHEN {p} > {q} THEN 'FAIL' ELSE 'WARN' END AS result, count(*) AS n FROM {rest} "
+            f"WHERE {both} AND ({p} > {q} OR ({p} = {q} AND {n} < 10 AND length(trim({a})) <> length(trim({b})))) GROUP BY 3")
+
+
+_SV = "(SELECT usubjid, min(substr(vsdtc,1,10)) AS svstdtc, max(substr(vsdtc,1,10)) AS svendtc FROM vs WHERE visitnum IS NOT NULL GROUP BY usubjid, visitnum)"
+_DS = "(SELECT usubjid, rfendtc AS dsstdtc FROM adsl WHERE deleted_at IS NULL)"
+
+
+@query("WITH r AS (" + _LAST.format(t="dm") + ") " + " UNION ALL ".join([
+    *[_pair(f"RFSTDTC<={c.upper()}", t, "r.rfstdtc", f"x.{c}", f"{src} x JOIN r ON upper(trim(x.usubjid)) = r.k") for c, t, src in (("exstdtc", "EX", "ex"), ("aestdtc", "AE", "ae"), ("svstdtc", "SV", _SV), ("dsstdtc", "DS", _DS))],
+    *[_pair(f"{p.upper()}STDTC<={p.upper()}ENDTC", p.upper(), f"{p}stdtc", f"{p}endtc", src) for p, src in (("ex", "ex"), ("ae", "ae"), ("sv", _SV))],
+]))
+def check_date_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Seven pairs of dates across domains, counted by result."""
+    day = F.substring("vsdtc", 1, 10)
+    sv = table(spark, d, "vs").where("visitnum is not null").groupBy("usubjid", "visitnum").agg(F.min(day).alias("svstdtc"), F.max(day).alias("svendtc")).withColumn("rec_id", F.col("visitnum"))
+    dm, ae, ex = (table(spark, d, t) for t in ("dm", "ae", "ex"))
+    return rulepacks.date_order_pack(dm, ae, ex, sv, X.dispositions(spark, d)).groupBy("pair", "dataset", "result").agg(F.count(F.lit(1)).alias("n"))
+
+
+_KT = "upper(trim(usubjid)) AS k, upper(trim(aeterm)) AS t, nullif(trim(aestdtc),'') AS d"
+
+
+@query(f"""WITH f AS (SELECT {_KT} FROM adae WHERE upper(trim(aeser)) = 'Y' AND trim(usubjid) <> '' AND trim(aeterm) <> ''), e AS (SELECT {_KT}, upper(trim(aeser)) = 'Y' AS y FROM ae),
+p AS (SELECT k, t, max(CASE WHEN y THEN 1 ELSE 0 END) AS y FROM e GROUP BY 1, 2), j AS (SELECT f.*, p.k IS NOT NULL AS found, p.y, (f.k, f.t, f.d) IN (SELECT (k, t, d) FROM e WHERE d IS NOT NULL AND k IS NOT NULL AND t IS NOT NULL) AS same FROM f LEFT JOIN p ON f.k = p.k AND f.t = p.t) """ + " UNION ALL ".join([
+    _n("RECON-SAE-001", "ERROR", "SAE", "j WHERE NOT found"), _n("RECON-SAE-002", "ERROR", "SAE", "j WHERE found AND y = 0"), _n("RECON-SAE-003", "WARNING", "SAE", "j WHERE found AND d IS NOT NULL AND NOT same"),
+]))
+def check_sae(spark: SparkSession, d: str) -> DataFrame:
+    """Serious events of the analysis dataset as forms against the events recorded."""
+    return _summed([rulepacks.sae_pack(table(spark, d, "adae").where("upper(trim(aeser)) = 'Y'"), table(spark, d, "ae"))])
+
+
+@query("WITH r AS (" + _LAST.format(t="dm") + "), j AS (SELECT a.*, r.k AS rk, r.arm AS rarm, r.country AS rcountry, r.sex AS rsex FROM adsl a LEFT JOIN r ON upper(trim(a.usubjid)) = r.k WHERE trim(a.usubjid) <> '') " + " UNION ALL ".join([
+    _n("RECON-RAND-001", "WARNING", "RAND", f"j WHERE {_NE.format('arm', 'rarm')}"), _n("RECON-RAND-002", "ERROR", "RAND", "j WHERE rk IS NULL"),
+    _n("RECON-RAND-003", "WARNING", "RAND", f"j WHERE {_NE.format('country', 'rcountry')} OR {_NE.format('sex', 'rsex')}"),
+]))
+def check_randomisation(spark: SparkSession, d: str) -> DataFrame:
+    """Treatment lists of the analysis dataset against demographics; country and sex are the strata."""
+    return _summed([rulepacks.randomisation_pack(table(spark, d, "adsl"), table(spark, d, "dm"), ["country", "sex"])])
 
 
 @query(f"""SELECT CASE WHEN lower(message) SIMILAR TO '.*(missing|required|absent|null).*' THEN 'missing' WHEN lower(message) SIMILAR TO '.*(codelist|terminology|not found in).*' THEN 'terminology' ELSE 'other' END AS family, count(*) AS n FROM ({CT}) GROUP BY 1""")
