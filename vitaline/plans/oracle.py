@@ -51,3 +51,39 @@ SQL: dict[str, str] = {
     "p6_report": f"WITH f AS ({_P6}) SELECT f.tab, period, kind, count(*) AS n_rows, count(DISTINCT upper(trim(u.usubjid))) AS n_keys FROM f JOIN (SELECT 'adae' AS tab, rec_id, usubjid FROM adae UNION ALL SELECT 'ex', rec_id, usubjid FROM ex UNION ALL SELECT 'adsl', rec_id, usubjid FROM adsl) u ON f.tab = u.tab AND f.rec_id = u.rec_id GROUP BY 1, 2, 3",
     **reference.SQL,
 }
+
+#: Aliases of the units per test as the SQL knows them: after folding of case, blanks and brackets; p / q is the factor to tenths, off is taken off first.
+_UNITS = """u(test, unit, aliases, off, p, q) AS (VALUES
+  ('BP','mmHg','mmhg|torr',0,10,1),('BP','kPa','kpa|kilopascal|kilopascals',0,7600000,101325),('BP','cmHg','cmhg',0,100,1),('PULSE','beats/min','beats/min|beatsperminute|bpm|/min|b/min',0,10,1),
+  ('RESP','breaths/min','breaths/min|breathsperminute|bpm|/min|brpm',0,10,1),('TEMP','C','c|degc|°c|celsius|degreesc',0,10,1),('TEMP','F','f|degf|°f|fahrenheit|degreesf',32,50,9),('TEMP','K','k|kelvin',273.15,10,1),
+  ('WEIGHT','kg','kg|kgs|kilogram|kilograms',0,10,1),('WEIGHT','lb','lb|lbs|pound|pounds',0,45359237,10000000),('WEIGHT','g','g|gram|grams',0,1,100),('WEIGHT','st','st|stone|stones',0,635029318,10000000),
+  ('HEIGHT','cm','cm|cms|centimeter|centimeters|centimetre|centimetres',0,10,1),('HEIGHT','in','in|inch|inches|"',0,254,10),('HEIGHT','m','m|meter|meters|metre|metres',0,1000,1),('HEIGHT','mm','mm|millimeter|millimeters|millimetre|millimetres',0,1,1),
+  ('HEIGHT','ft','ft|foot|feet|''',0,3048,10),('OXYSAT','%','%|pct|percent',0,10,1),('OXYSAT','fraction','fraction|ratio|1',0,1000,1))"""
+_FOLD = "regexp_replace(regexp_replace(lower(trim({0})), '[][]', '', 'g'), '(mm|cm|deg|degrees|beats|breaths|per) ', '\\1', 'g')"
+P5_FOUND = f"""WITH {_UNITS}, ux AS (SELECT t.test, u.unit, unnest(string_split(aliases, '|')) AS alias, off::DECIMAL(18,4) AS off, p::HUGEINT AS p, q::HUGEINT AS q FROM u JOIN (VALUES ('SYSBP','BP'),('DIABP','BP'),('PULSE','PULSE'),('RESP','RESP'),('TEMP','TEMP'),('WEIGHT','WEIGHT'),('HEIGHT','HEIGHT'),('OXYSAT','OXYSAT')) t(test, fam) ON t.fam = u.test),
+v AS (SELECT rec_id, vstestcd AS test, replace(regexp_extract(vsorres, '[0-9]+([.,][0-9]+)?'), ',', '.') AS num, {_FOLD.format("regexp_extract(vsorres, '[0-9]+(?:[.,][0-9]+)?(.*)', 1)")} AS rest, {_FOLD.format('vsorresu')} AS field FROM vs WHERE regexp_matches(vsorres, '[0-9]')),
+w AS (SELECT *, try_cast(num AS DECIMAL(18,4)) AS x, regexp_extract(rest, '^(?:st|stone|ft|feet|'') *([0-9]+(?:[.,][0-9]+)?)', 1) AS lesser FROM v),
+it AS (SELECT w.rec_id, arg_max(ux.unit, length(ux.alias)) AS unit FROM w JOIN ux ON ux.test = w.test AND ux.alias <> '1' AND starts_with(w.rest, ux.alias) AND NOT regexp_matches(substr(w.rest, length(ux.alias) + 1, 1), CASE WHEN regexp_matches(right(ux.alias, 1), '[a-z]') THEN '^[a-z]' ELSE '^$x' END) GROUP BY 1),
+fi AS (SELECT w.rec_id, min(ux.unit) AS unit FROM w JOIN ux ON ux.test = w.test AND ux.alias = w.field GROUP BY 1),
+rg AS (SELECT w.rec_id, coalesce(max(CASE WHEN is_std THEN r.unit END), CASE WHEN count(*) = 1 THEN max(r.unit) END) AS unit FROM w JOIN vs_units r ON r.vstestcd = w.test AND w.x BETWEEN r.lo AND r.hi GROUP BY 1),
+k AS (SELECT w.*, coalesce(it.unit, fi.unit, rg.unit) AS unit FROM w LEFT JOIN it ON it.rec_id = w.rec_id LEFT JOIN fi ON fi.rec_id = w.rec_id LEFT JOIN rg ON rg.rec_id = w.rec_id),
+c AS (SELECT rec_id, test, unit AS named, CASE WHEN lesser <> '' AND unit = 'st' THEN 'lb' WHEN lesser <> '' AND unit = 'ft' THEN 'in' ELSE unit END AS unit, CASE WHEN lesser <> '' AND unit = 'st' THEN x * 14 + CAST(replace(lesser, ',', '.') AS DECIMAL(18,4)) WHEN lesser <> '' AND unit = 'ft' THEN x * 12 + CAST(replace(lesser, ',', '.') AS DECIMAL(18,4)) ELSE x END AS x FROM k)
+SELECT c.rec_id, CAST((2 * CAST((c.x - f.off) * 10000 AS HUGEINT) * f.p + f.q * 10000) // (2 * f.q * 10000) AS BIGINT) AS std_tenths FROM c JOIN (SELECT DISTINCT test, unit, off, p, q FROM ux) f ON f.test = c.test AND f.unit = c.unit JOIN vs_units s ON s.vstestcd = c.test AND s.unit = c.named WHERE NOT s.is_std"""
+SQL["p5_found"] = P5_FOUND
+
+#: Times by the parser's own formats, after the zone at the end was taken off; a local time is read by the zone database and, where it
+#: occurs twice, moved to its first occurrence.
+P1_FOUND = """WITH a AS (SELECT 'dm' AS tab, rec_id, usubjid, rfstdtc AS v FROM dm UNION ALL SELECT 'ae', rec_id, usubjid, aestdtc FROM ae UNION ALL SELECT 'ex', rec_id, usubjid, exstdtc FROM ex),
+z(name, m) AS (VALUES ('Z',0),('UTC',0),('GMT',0),('BST',60),('CET',60),('CEST',120),('MEZ',60),('MESZ',120),('WET',0),('WEST',60),('EET',120),('EEST',180),('JST',540),('KST',540),('SGT',480),('HKT',480),('AEST',600),('AEDT',660),('NZST',720),('NZDT',780),
+  ('EST',-300),('EDT',-240),('CDT',-300),('MST',-420),('MDT',-360),('PST',-480),('PDT',-420)),
+b AS (SELECT a.tab, a.rec_id, trim(regexp_replace(a.v, '\\s+', ' ', 'g')) AS s, t.tz, t.date_order FROM a LEFT JOIN (SELECT upper(trim(siteid)) AS k, min(tz) AS tz, min(date_order) AS date_order FROM sites GROUP BY 1) t ON t.k = upper(trim(split_part(trim(a.usubjid), '-', 2)))),
+c AS (SELECT *, CASE WHEN regexp_matches(s, '(:\\d\\d(\\.\\d+)?|T\\d{6}) ?(Z|[+-]\\d\\d:?(\\d\\d)?|[A-Z]{2,5})$') AND NOT regexp_matches(upper(s), '[AP]M$') THEN regexp_extract(s, '(:\\d\\d(?:\\.\\d+)?|T\\d{6}) ?(Z|[+-]\\d\\d:?(?:\\d\\d)?|[A-Z]{2,5})$', 2) ELSE '' END AS zone FROM b),
+d AS (SELECT *, trim(left(s, length(s) - length(zone))) AS base FROM c),
+e AS (SELECT *, coalesce(try_strptime(base, ['%Y-%m-%dT%H:%M:%S', '%Y-%m-%dT%H:%M:%S.%f', '%Y-%m-%dT%H:%M', '%Y-%m-%d %H:%M:%S', '%Y-%m-%d %H:%M', '%Y%m%dT%H%M%S', '%d%b%Y:%H:%M:%S', '%d %b %Y %H:%M:%S', '%B %d, %Y %I:%M %p', '%d.%m.%Y %H:%M', '%Y/%m/%d %H:%M']),
+  CASE date_order WHEN 'MDY' THEN try_strptime(base, ['%m/%d/%Y %I:%M %p', '%m/%d/%Y %H:%M']) WHEN 'DMY' THEN try_strptime(base, ['%d/%m/%Y %I:%M %p', '%d/%m/%Y %H:%M']) END) AS l FROM d),
+f AS (SELECT e.*, z.m, CASE WHEN regexp_matches(zone, '^[+-]') THEN (CASE WHEN zone LIKE '-%' THEN -1 ELSE 1 END) * (CAST(substr(zone, 2, 2) AS INT) * 60 + CASE WHEN length(zone) > 3 THEN CAST(right(zone, 2) AS INT) ELSE 0 END) WHEN zone = 'CST' THEN CASE WHEN tz = 'Asia/Shanghai' THEN 480 ELSE -360 END
+  WHEN zone = 'IST' THEN CASE tz WHEN 'Europe/Dublin' THEN 60 WHEN 'Asia/Jerusalem' THEN 120 ELSE 330 END WHEN zone <> '' THEN z.m END AS off, CASE WHEN l IS NOT NULL AND zone = '' AND tz IS NOT NULL THEN timezone(tz, date_trunc('second', l)) END AS t FROM e LEFT JOIN z ON z.name = zone),
+g AS (SELECT *, CASE WHEN regexp_matches(s, '^\\d{10}(\\d{3})?$') THEN CAST(left(s, 10) AS BIGINT) WHEN l IS NOT NULL AND off IS NOT NULL THEN epoch(date_trunc('second', l))::BIGINT - off * 60 WHEN t IS NULL THEN NULL
+  WHEN timezone(tz, t - INTERVAL 1 HOUR) = date_trunc('second', l) THEN epoch(t)::BIGINT - 3600 WHEN timezone(tz, t - INTERVAL 30 MINUTE) = date_trunc('second', l) THEN epoch(t)::BIGINT - 1800 ELSE epoch(t)::BIGINT END AS x FROM f)
+SELECT tab, rec_id, strftime(make_timestamp(x * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS utc FROM g WHERE x IS NOT NULL"""
+SQL["p1_found"] = P1_FOUND
