@@ -58,3 +58,12 @@ def test_runs_of_any_number_of_tokens(spark):
     entries = [("ae", 1, "Constipation", None), ("ae", 2, "Redness at injection site", None), ("ae", 3, "Neck pain", None)]
     values = ["c o n s t i p a t i o n", "c o n s t i p a t i o n at night", "redness at injec tion site NOS", "red ness at injec tion site NOS", "neckpain after dosing", "a " * 3000 + "neck pain", "no pain"]
     assert [c for _, _, c in codes(spark, [("ae", i, v) for i, v in enumerate(values)], entries)] == [1, 1, 2, 2, 3, 3, -1]
+
+
+def test_heavy_values_come_out_as_the_others(spark):
+    rows = [("ae", i, "headahce" if i % 3 else f"value {i}") for i in range(60)] + [("ae", 100 + i, "hypotenosn") for i in range(5)]
+    r = spark.createDataFrame(rows, "field string, rec_id long, value string")
+    t = spark.createDataFrame(TERMS, "codelist string, code int, term string, aliases string")
+    want = sorted((f, i, 10 if v == "headahce" else 12 if v == "hypotenosn" else -1) for f, i, v in rows)
+    for share in (1.0, 0.3, 0.0):
+        assert sorted(tuple(x) for x in terms.match_terms(r, t, share).collect()) == want

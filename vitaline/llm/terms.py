@@ -8,7 +8,9 @@ The corrected tokens are then combined per value: an entry (term or alias) is co
 present, and complete entries are ranked by the soft TF-IDF product of value and entry. A value with no complete
 entry is unmatched (-1).
 
-Only distinct values and distinct tokens are shuffled; rows join their value's result once. The vocabulary is a
+Only distinct values and distinct tokens are shuffled; rows join their value's result once. Values with more than a
+share of all rows are heavy, at most 1 / share of them: their results are broadcast, so their rows never move, and the
+other rows meet theirs in a shuffle join. The vocabulary is a
 reference list held by the driver up to a documented size, beyond which the operator raises.
 
 Defined results: null and blank values have no row; values without letters or digits are unmatched; ties go to the
@@ -28,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_ENTRIES = 100_000
+#: Values with more than this share of all rows are heavy, so there are at most 1 / SHARE of them.
+SHARE = 0.001
 
 
 def normal(c: Column) -> Column:
@@ -163,12 +167,15 @@ def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     ).select("field", "norm", "g.kind", "g.gram")
 
     def repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        built = {(k, f): Vocabulary((words if k == "w" else joined)[f], cap) for k, cap in CAPS.items() for f in words}
+        built: dict[tuple[str, str], Vocabulary] = {}  # only those a task meets
         for b in batches:
             out = []
             for field, kind, gram in zip(b["field"], b["kind"], b["gram"], strict=True):
-                if (v := built.get((kind, field))) is not None:
-                    out += [(field, kind, gram, w, s) for w, s in v.nearest(gram)]
+                if field not in words:
+                    continue
+                if (v := built.get((kind, field))) is None:
+                    v = built[kind, field] = Vocabulary((words if kind == "w" else joined)[field], CAPS[kind])
+                out += [(field, kind, gram, w, s) for w, s in v.nearest(gram)]
             yield pd.DataFrame(out, columns=["field", "kind", "gram", "word", "sim"])
 
     # tokens are few bytes but much work each, so the number of tasks must not follow the bytes
@@ -185,10 +192,14 @@ def match_values(values: DataFrame, terms: DataFrame) -> DataFrame:
     return values.join(best, ["field", "norm"], "left").select("field", "norm", F.coalesce("code", F.lit(-1)).alias("code"))
 
 
-def match_terms(rows: DataFrame, terms: DataFrame) -> DataFrame:
+def match_terms(rows: DataFrame, terms: DataFrame, share: float = SHARE) -> DataFrame:
     """rows has (field, rec_id, value): (field, rec_id, code) of every filled value that is not a term of its codelist
     letter for letter."""
     exact = terms.select(F.col("codelist").alias("field"), F.col("term").alias("value")).where(F.col("value").isNotNull()).distinct()
     cases = rows.where(F.trim("value") != "").join(exact, ["field", "value"], "left_anti").select("field", "rec_id", normal(F.col("value")).alias("norm"))
-    mapped = match_values(cases.select("field", "norm").distinct(), terms)
-    return cases.join(mapped, ["field", "norm"]).select("field", "rec_id", "code")
+    counts = cases.groupBy("field", "norm").agg(F.count(F.lit(1)).alias("n"))
+    mapped = match_values(counts.select("field", "norm"), terms)
+    heavy = F.broadcast(counts.where(F.col("n") > counts.agg(F.sum("n").alias("t")).scalar() * share).select("field", "norm"))
+    hot = cases.join(F.broadcast(mapped.join(heavy, ["field", "norm"])), ["field", "norm"])
+    cold = cases.join(heavy, ["field", "norm"], "left_anti").join(mapped, ["field", "norm"])
+    return hot.unionByName(cold).select("field", "rec_id", "code")
