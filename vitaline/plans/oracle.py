@@ -59,7 +59,7 @@ _UNITS = """u(test, unit, aliases, off, p, q) AS (VALUES
   ('WEIGHT','kg','kg|kgs|kilogram|kilograms',0,10,1),('WEIGHT','lb','lb|lbs|pound|pounds',0,45359237,10000000),('WEIGHT','g','g|gram|grams',0,1,100),('WEIGHT','st','st|stone|stones',0,635029318,10000000),
   ('HEIGHT','cm','cm|cms|centimeter|centimeters|centimetre|centimetres',0,10,1),('HEIGHT','in','in|inch|inches|"',0,254,10),('HEIGHT','m','m|meter|meters|metre|metres',0,1000,1),('HEIGHT','mm','mm|millimeter|millimeters|millimetre|millimetres',0,1,1),
   ('HEIGHT','ft','ft|foot|feet|''',0,3048,10),('OXYSAT','%','%|pct|percent',0,10,1),('OXYSAT','fraction','fraction|ratio|1',0,1000,1))"""
-_FOLD = "regexp_replace(regexp_replace(lower(trim({0})), '[][]', '', 'g'), '(mm|cm|deg|degrees|beats|breaths|per) ', '\\1', 'g')"
+_FOLD = "regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '[][]', '', 'g'), '(mm|cm) hg', '\\1hg', 'g'), '(deg|degrees|beats|breaths|per) ', '\\1', 'g')"
 P5_FOUND = f"""WITH {_UNITS}, ux AS (SELECT t.test, u.unit, unnest(string_split(aliases, '|')) AS alias, off::DECIMAL(18,4) AS off, p::HUGEINT AS p, q::HUGEINT AS q FROM u JOIN (VALUES ('SYSBP','BP'),('DIABP','BP'),('PULSE','PULSE'),('RESP','RESP'),('TEMP','TEMP'),('WEIGHT','WEIGHT'),('HEIGHT','HEIGHT'),('OXYSAT','OXYSAT')) t(test, fam) ON t.fam = u.test),
 v AS (SELECT rec_id, vstestcd AS test, replace(regexp_extract(vsorres, '[0-9]+([.,][0-9]+)?'), ',', '.') AS num, {_FOLD.format("regexp_extract(vsorres, '[0-9]+(?:[.,][0-9]+)?(.*)', 1)")} AS rest, {_FOLD.format('vsorresu')} AS field FROM vs WHERE regexp_matches(vsorres, '[0-9]')),
 w AS (SELECT *, try_cast(num AS DECIMAL(18,4)) AS x, regexp_extract(rest, '^(?:st|stone|ft|feet|'') *([0-9]+(?:[.,][0-9]+)?)', 1) AS lesser FROM v),
