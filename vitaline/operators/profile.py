@@ -208,7 +208,6 @@ def profile(df: DataFrame, tab: str, patterns: dict[str, str] | None = None, loa
     agg = agg.withColumn("mean", F.coalesce(F.col("__e1").cast("double"), F.col("__s1")) / n)
     around = F.coalesce(squares(n, F.col("__e1"), F.col("__e2")), F.col("__s2") - n * F.col("mean") * F.col("mean"))
     agg = agg.withColumn("sd", deviation(n, around))
-    # the same groups, aggregated once and reused
     shares = _share_changes(groups.where(~F.col("col").isin(*numeric)) if numeric else groups)
     agg = agg.join(shares, ["col", "load_no"], "left")
     w = Window.partitionBy("col").orderBy("load_no")
